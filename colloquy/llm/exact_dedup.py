@@ -89,7 +89,7 @@ def verified_recipes(docs: DataFrame, text_col: str = "text", bits: int = 64) ->
     name content numbers as well (bits: of the hash; a few bits force this in tests).
     """
     pieces = _recipes(docs.select(text_col), text_col, bits, True).select(F.explode(F.arrays_zip("__recipe", "__chunks")).alias("c")).select(F.col("c.__recipe").alias("h"), F.col("c.__chunks").alias("chunk"))
-    distinct = pieces.groupBy("h", "chunk").agg()
+    distinct = pieces.distinct()
     shared = cut(distinct.groupBy("h").count().where("count > 1").select("h"))
     if shared.isEmpty():
         return _recipes(docs, text_col, bits, False)
