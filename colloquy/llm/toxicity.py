@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import held_out_column, slices, texts_of
+from colloquy.llm.common import held_out_column, slices, starts_of, texts_of
 from colloquy.llm.labelled import MAX_FIT_ROWS, collect_sample, sample_ids
 
 #: Hash buckets, vector length, and the beginnings of a word that are terms beside the word.
@@ -76,16 +76,17 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 60, ra
     if n == 0 or labels.min() == labels.max():
         p = 0.5 if n == 0 else (labels.sum() + 1) / (n + 2)
         return FactorizationMachine(np.zeros(0, np.int64), float(np.log(p / (1 - p))), np.zeros(0), np.zeros((0, FACTORS)))
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    terms, place, seen = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    hits = np.bincount(place, labels[owner].astype(float), len(terms))
+    seen, hits = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for row, label in zip(rows, labels, strict=True):  # the terms of a row differ
+        seen[row] += 1
+        hits[row] += label
     base = labels.mean()
     z = (hits - seen * base) / np.sqrt(np.maximum(seen * base * (1 - base), 1e-9))
     use = (seen >= MIN_DOCUMENTS) & (np.abs(z) >= 3)
     number = np.cumsum(use) - 1
-    keep = use[place]
-    owner, index = owner[keep], number[place[keep]]
-    offsets = np.searchsorted(owner, np.arange(n + 1))
+    chosen = [number[row[use[row]]] for row in rows]
+    offsets = starts_of(np.array([len(c) for c in chosen]))
+    index = np.concatenate(chosen)
     rng = np.random.default_rng(seed)
     m = int(use.sum())
     weight, factor, bias = np.zeros(m), rng.normal(0, 0.01, (m, FACTORS)), float(np.log(base / (1 - base)))
@@ -106,7 +107,7 @@ def fit_machine(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 60, ra
             weight -= rate * dw / np.sqrt(gw)
             factor -= 0.1 * rate * dv / np.sqrt(gv)
             bias -= 0.1 * rate * db / np.sqrt(gb)
-    return FactorizationMachine(terms[use], bias, weight, factor)
+    return FactorizationMachine(np.flatnonzero(use), bias, weight, factor)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: tuple[int, int] = (3, 1), max_rows: int = MAX_FIT_ROWS) -> FactorizationMachine:
@@ -124,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return texts.select(text_col, "__label", id_col).mapInArrow(buckets, f"b binary, y int, k {dict(texts.dtypes)[id_col]}")
 
     sample = sorted(collect_sample(docs, ids, id_col, text_col, featurise), key=lambda r: r.k)
-    return fit_machine([np.frombuffer(r.b, np.int32).astype(np.int64) for r in sample], np.array([r.y for r in sample], dtype=np.int64))
+    return fit_machine([np.frombuffer(r.b, np.int32) for r in sample], np.array([r.y for r in sample], dtype=np.int64))
 
 
 def score(docs: DataFrame, machine: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
