@@ -118,7 +118,7 @@ def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stay only if the whole group has none. Very long texts are lists of more chunks.
     """
     recipes = verified_recipes(docs.select(id_col, text_col), text_col, bits).drop(text_col)
-    groups = duplicate_groups(recipes, id_col)
+    groups = cut(duplicate_groups(recipes, id_col))  # a join of two exchanges lets Spark split hot recipes
     return recipes.join(groups, "__recipe").select(id_col, "keep_id", F.col("group_size").cast("long"), F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), F.col("__sha").alias("text_sha256"))
 
 
