@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import bpe, exact_dedup, pii, quality, toxicity, url_filter
+from colloquy.llm import bpe, exact_dedup, ngram_join, pii, quality, toxicity, url_filter
 from colloquy.llm.common import table
 
 
@@ -39,7 +39,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op5_quality, op6_url_filter, op7_bpe, op8_toxicity)}
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op5_quality, op6_url_filter, op7_bpe, op8_toxicity, op9_ngram_join)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
