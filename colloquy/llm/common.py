@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -32,26 +34,59 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder that the session names in spark.checkpoint.dir; only without one (as in
-    tests on one machine) a temporary folder is set."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="colloquy-checkpoint-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; only without one (as in tests on
+    one machine) a temporary folder is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = f"file://{tempfile.mkdtemp(prefix='colloquy-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and forgets its lineage. The garbage collection
+    """df written to the shared folder and read again, without its lineage. The garbage collection
     lets Spark delete the shuffle files that only the lineage needed."""
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    out = df.checkpoint(eager=True)
-    del df
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    _written.append((spark, path))
+    if len(_written) == 1:
+        atexit.register(_forget)
+    return out
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """After a large shuffle that was cut off: Spark deletes its files."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes what cut(df) wrote; nothing may read it after."""
+    _delete(df.sparkSession, df._written_at)
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _forget() -> None:
+    """At the end of the program, while its session still lives."""
+    for spark, path in _written:
+        try:
+            if spark.sparkContext._jsc is None:
+                return
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  the session has ended: nothing can be deleted through it
+            return
 
 
 def crc_mod(doc_id: int | None, n: int) -> int:

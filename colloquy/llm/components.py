@@ -20,16 +20,22 @@ def connected(edges: DataFrame) -> DataFrame:
     while known is None or not left.isEmpty():
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")))
-        moved = True
-        while moved:
-            above = hooks.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-            hooks = cut(hooks.join(above, "root", "left").select("node", F.coalesce("higher", "root").alias("root"), (F.col("higher") < F.col("root")).alias("moved")))
-            moved = not hooks.where("moved").isEmpty()
-            hooks = hooks.drop("moved")
-        if known is None:
-            known = hooks
-        else:
-            known = cut(known.join(hooks.select(F.col("node").alias("root"), F.col("root").alias("higher")), "root", "left").select("node", F.coalesce("higher", "root").alias("root")))
+        while not (longer := cut(_jumped(hooks))).where("moved").isEmpty():
+            hooks = longer.drop("moved")
+        hooks = longer.drop("moved")
+        known = hooks if known is None else cut(_above(known, hooks))
         ends = [hooks.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab"]
         left = cut(left.join(ends[0], "a").join(ends[1], "b").where("a_root <> b_root").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct())
     return known
+
+
+def _above(known: DataFrame, hooks: DataFrame) -> DataFrame:
+    """known with each root replaced by what hooks says of it."""
+    higher = hooks.select(F.col("node").alias("root"), F.col("root").alias("higher"))
+    return known.join(higher, "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
+
+
+def _jumped(hooks: DataFrame) -> DataFrame:
+    """Each node at the root of its root, and whether that moved it."""
+    higher = hooks.select(F.col("node").alias("root"), F.col("root").alias("higher"))
+    return hooks.join(higher, "root").select("node", F.col("higher").alias("root"), (F.col("higher") < F.col("root")).alias("moved"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import cut, mix64, slices
+from colloquy.llm.common import collect_garbage, cut, drop, mix64, slices
 from colloquy.llm.components import connected
 
 #: Segments on which similar sets agree beyond the one that the pigeonhole principle gives.
@@ -206,22 +206,20 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 class _Groups:
     """The links found so far and the groups that they form."""
 
-    def __init__(self, sets: DataFrame, like: Likeness):
-        self.sets, self.like, self.links, self.roots = sets, like, None, None
-
-    def linked(self) -> str:
-        return f"100 * both >= {self.like.percent} * any"
+    def __init__(self, sets: DataFrame | None, like: Likeness):
+        self.sets, self.like, self.roots = sets, like, None
 
     def add(self, tested: DataFrame) -> bool:
-        """True if tested has links that join groups."""
-        new = tested.where(self.linked()).select("a", "b")
-        if self.roots is not None:
-            new = self.rooted(self.rooted(new, "a"), "b").where("a_root <> b_root").select("a", "b")
-        new = cut(new)
-        if new.isEmpty():
+        """Joins the groups that tested links; True if there were any."""
+        links = tested.where(f"100 * both >= {self.like.percent} * any").select("a", "b")
+        links = cut(self.rooted(self.rooted(links, "a"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).where("a <> b"))
+        if links.isEmpty():
             return False
-        self.links = new if self.links is None else self.links.union(new)
-        self.roots = connected(self.links)
+        joined = connected(links)
+        if self.roots is not None:
+            older = self.roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("higher")), "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
+            joined = cut(older.union(joined.join(self.roots, "node", "left_anti")))
+        self.roots = joined
         return True
 
     def rooted(self, rows: DataFrame, column: str) -> DataFrame:
@@ -266,15 +264,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if nodes.where("lo <> hi").isEmpty():
             break
         seed += 1  # two sets share a fingerprint: others are drawn
-    members = prepared.select("id", "n", "node")
+    members = cut(prepared.select("id", "n", "node"))
 
     entries = prepared.where("node IS NOT NULL").select("node", F.explode("keys").alias("key"))
     shared = cut(entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"))
+    collect_garbage(docs.sparkSession)
     live = cut(cut(entries.join(shared, "key").select("key", "node", "lo", "hi")).distinct())
+    collect_garbage(docs.sparkSession)
     groups = _Groups(None, like)
     if not live.isEmpty():
         wanted = live.select("node").distinct().join(nodes, "node").select("node", F.col("first").alias("id"))
         groups.sets = cut(_sets(docs, wanted, id_col, text_col, like, seed))
+        collect_garbage(docs.sparkSession)
+        drop(prepared)
         _link(live, groups)
 
     roots = groups.rooted(members, "node")
