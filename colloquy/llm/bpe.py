@@ -163,8 +163,8 @@ def encoder_at(path: str) -> PrefixEncoder:
     return PrefixEncoder.from_file(path)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256 and, with with_ids, ids (array<int>) and decoded.
+def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
+    """id, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids (array<int>) and decoded.
 
     vocabulary: path of the public vocabulary file, present on every machine. A null text is the
     empty text and has no tokens; very long texts are encoded whole; repeated rows are encoded one
@@ -172,7 +172,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     """
     chosen = docs.select(id_col, text_col)
     kind = dict(chosen.dtypes)[id_col]
-    schema = f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    schema = f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * (with_ids and with_decoded)
     digest = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +188,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
             ]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                names += ["ids", "decoded"]
+                columns.append(pa.array(ids, pa.list_(pa.int32())))
+                names.append("ids")
+            if with_ids and with_decoded:
+                columns.append(pa.array(decoded, pa.string()))
+                names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return chosen.mapInArrow(encoded, schema)

@@ -320,3 +320,12 @@ def _link(live: DataFrame, groups: _Groups) -> None:
         double = many.drop("node_root").join(other, "node").where("key < key2").select(F.xxhash64("key", "key2").alias("key"), "node").distinct()
         pairs = pairs.union(_across(groups.mixed(double))).distinct()
     groups.add(cut(_verified(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), groups.sets, groups.like)))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stay: of each group the row whose id names it, all columns unchanged.
+
+    Rows that repeat the same id stay together if that id stays; rows with a null id stay.
+    """
+    groups = cut(similar_groups(docs, id_col, text_col, words, percent).where(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("component_id"))).select(id_col).distinct())
+    return docs.join(groups, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,8 +4,9 @@ the same."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, exact_dedup, ngram_join, pii, quality, toxicity, url_filter
+from colloquy.llm import bpe, exact_dedup, mixing, ngram_join, pii, quality, toxicity, url_filter
 from colloquy.llm.common import table
 
 
@@ -23,6 +24,20 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Shares of tokens that the mixed corpus is to have.
+TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
+
+
+def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled table of the mixing: the language of the documents that have labels."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("domain"))
+    return documents.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan_mix(table(spark, sf_dir, "documents"), labelled_domains(spark, sf_dir), TARGETS)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,7 +58,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op5_quality, op6_url_filter, op7_bpe, op8_toxicity, op9_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op4_mixing, op5_quality, op6_url_filter, op7_bpe, op8_toxicity, op9_ngram_join)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """

@@ -176,8 +176,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return score(docs, machine, id_col, text_col).select(id_col, held_out_column(id_col, *held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
-    """The rows of docs that score below threshold, all columns unchanged."""
-    machine = train(docs, labels, id_col, text_col, max_rows=max_rows)
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, max_rows: int = MAX_FIT_ROWS, fit_docs: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that score below threshold, all columns unchanged. fit_docs: where the
+    labelled rows' texts are, docs unless given."""
+    machine = train(docs if fit_docs is None else fit_docs, labels, id_col, text_col, max_rows=max_rows)
     marked = score(docs, machine, id_col, text_col, docs.columns)
     return marked.where(F.col("score") < threshold).drop("score")
