@@ -7,10 +7,8 @@ sets agree on one segment. Sets are indexed by what they have in each segment, s
 2 also with each single element left out. A cost model chooses how many segments get weight 2.
 Candidates that share an index entry are verified by their whole sets.
 
-The result wanted is connected groups, so a large bucket need not be compared pair by pair: its
-members are compared with a few of its members first, groups are formed, and only members of
-different groups are compared further. One more segment than needed makes unlinked similar sets
-agree on two segments at least, so large buckets of many groups are joined on two entries at once.
+One more segment than needed makes similar sets agree on two segments at least, which is what
+bucket_links asks for where large buckets are left.
 """
 
 from __future__ import annotations
@@ -25,21 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.bucket_links import Groups, link
 from colloquy.llm.common import collect_garbage, cut, drop, mix64, slices
-from colloquy.llm.components import connected
 
 #: Segments on which similar sets agree beyond the one that the pigeonhole principle gives.
 SPARE = 1
 #: Cost model: chance that an unrelated set has an element's place filled alike, sets met.
 ALIKE, MET = 0.05, 1e5
-#: Rounds in which large buckets are compared with one more of their members.
-ROUNDS = 3
-#: Pairs of a bucket that are compared directly, for each of its members.
-DIRECT = 32
 CACHE_WORDS = 300_000
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_FLIPS = [0x3C6EF372FE94F82B, 0x5BE0CD19137E2179, 0x1F83D9ABFB41BD6B, 0x510E527FADE682D1]
 
 
 @dataclass(frozen=True)
@@ -179,7 +172,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, like:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """a, b, both (size of the intersection) and any (of the union) for pairs (a, b)."""
+    """a, b, linked, beyond and remote for pairs (a, b), from the sizes of intersection and union."""
     left, right = (sets.select(F.col("node").alias(c), F.col("elements").alias(f"{c}_set")) for c in "ab")
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set")
 
@@ -196,57 +189,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
                 union.append(len(p) + len(q) - n)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "both", "any"])
 
-    return joined.mapInArrow(rows, "a long, b long, both long, any long").distinct()
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-class _Groups:
-    """The links found so far and the groups that they form."""
-
-    def __init__(self, sets: DataFrame | None, like: Likeness):
-        self.sets, self.like, self.roots = sets, like, None
-
-    def add(self, tested: DataFrame) -> bool:
-        """Joins the groups that tested links; True if there were any."""
-        links = tested.where(f"100 * both >= {self.like.percent} * any").select("a", "b")
-        links = cut(self.rooted(self.rooted(links, "a"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).where("a <> b"))
-        if links.isEmpty():
-            return False
-        joined = connected(links)
-        if self.roots is not None:
-            older = self.roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("higher")), "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
-            joined = cut(older.union(joined.join(self.roots, "node", "left_anti")))
-        self.roots = joined
-        return True
-
-    def rooted(self, rows: DataFrame, column: str) -> DataFrame:
-        """rows with the root of a column's node beside it."""
-        if self.roots is None:
-            return rows.withColumn(f"{column}_root", F.col(column))
-        known = self.roots.select(F.col("node").alias(column), F.col("root").alias("__root"))
-        return rows.join(known, column, "left").withColumn(f"{column}_root", F.coalesce("__root", column)).drop("__root")
-
-    def mixed(self, entries: DataFrame) -> DataFrame:
-        """The entries (key, node, ...) of keys whose nodes are of several groups, with node_root."""
-        entries = cut(self.rooted(entries, "node"))
-        keys = entries.groupBy("key").agg(F.min("node_root").alias("lo"), F.max("node_root").alias("hi")).where("lo <> hi").select("key")
-        return cut(entries.join(keys, "key", "left_semi"))
-
-
-def _across(entries: DataFrame) -> DataFrame:
-    """Pairs of nodes of different groups that share a key."""
-    other = entries.select("key", F.col("node").alias("other"), F.col("node_root").alias("other_root"))
-    return _ordered(entries.join(other, "key").where("node_root < other_root").select(F.col("node").alias("a"), F.col("other").alias("b")))
-
-
-def _split_by_cost(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries of keys with few pairs across groups for each entry, and the rest."""
-    sizes = entries.groupBy("key", "node_root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
-    marked = cut(entries.join(sizes.select("key", (F.col("n") * F.col("n") - F.col("same") <= 2 * DIRECT * F.col("n")).alias("few")), "key"))
-    return marked.where("few").drop("few"), marked.where(~F.col("few")).drop("few")
+    counted = joined.mapInArrow(rows, "a long, b long, both long, any long").distinct()
+    far, limit = F.col("any") - F.col("both"), F.col("any") * (100 - like.percent)  # Jaccard distance over its limit
+    return counted.select("a", "b", (100 * far <= limit).alias("linked"), (100 * far > limit).alias("beyond"), (100 * far > 2 * limit).alias("remote"))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -271,57 +216,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     collect_garbage(docs.sparkSession)
     live = cut(cut(entries.join(shared, "key").select("key", "node", "lo", "hi")).distinct())
     collect_garbage(docs.sparkSession)
-    groups = _Groups(None, like)
+    groups = Groups(lambda pairs: _verified(pairs, sets, like))
     if not live.isEmpty():
         wanted = live.select("node").distinct().join(nodes, "node").select("node", F.col("first").alias("id"))
-        groups.sets = cut(_sets(docs, wanted, id_col, text_col, like, seed))
+        sets = cut(_sets(docs, wanted, id_col, text_col, like, seed))
         collect_garbage(docs.sparkSession)
         drop(prepared)
-        _link(live, groups)
+        link(live, groups, metric=True)
 
     roots = groups.rooted(members, "node")
     names = roots.where("node_root IS NOT NULL").groupBy("node_root").agg(F.min("id").alias("component"))
     return roots.join(names, "node_root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _link(live: DataFrame, groups: _Groups) -> None:
-    """Finds all links that matter to the groups among nodes that share a key (live: key, node, lo,
-    hi, the last two being the smallest and the largest node of the key)."""
-    pairs = _ordered(live.select("node", F.explode(F.array("lo", "hi")).alias("b")).select(F.col("node").alias("a"), "b"))
-    tested = cut(_verified(pairs, groups.sets, groups.like))
-    groups.add(tested)
-    entries = groups.mixed(live.select("key", "node", "lo"))
-    for flip in _FLIPS[:ROUNDS]:
-        if entries.isEmpty():
-            return
-        middle = entries.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.lit(flip))).bitwiseXOR(F.lit(flip)).alias("b"))
-        near = groups.rooted(entries.join(middle, "key"), "b").where("node_root <> b_root")
-        new = _ordered(near.select(F.col("node").alias("a"), "b")).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = cut(_verified(new, groups.sets, groups.like))
-        tested = tested.union(found)
-        if not groups.add(found):
-            break
-        entries = groups.mixed(entries.drop("node_root"))
-    if entries.isEmpty():
-        return
-    # By the triangle inequality of the Jaccard distance, a member similar to lo and one more than
-    # twice as far from lo as similar sets may be are not similar: such members part ways here.
-    far = F.col("any") - F.col("both")
-    limit = F.col("any") * (100 - groups.like.percent)
-    distances = tested.select("a", "b", (100 * far > limit).alias("beyond"), (100 * far > 2 * limit).alias("remote"))
-    known = entries.withColumn("a", F.least("node", "lo")).withColumn("b", F.greatest("node", "lo")).join(distances, ["a", "b"], "left")
-    sides = F.array_compact(F.array(F.when(~F.coalesce("remote", F.lit(False)), F.lit(0)), F.when(F.coalesce("beyond", F.lit(False)), F.lit(1))))
-    parted = known.select(F.explode(sides).alias("side"), "key", "node").select(F.xxhash64("key", "side").alias("key"), "node").distinct()
-    entries = groups.mixed(parted)
-    few, many = _split_by_cost(entries)
-    pairs = _across(few)
-    if not many.isEmpty():
-        other = many.select("node", F.col("key").alias("key2"))
-        double = many.drop("node_root").join(other, "node").where("key < key2").select(F.xxhash64("key", "key2").alias("key"), "node").distinct()
-        pairs = pairs.union(_across(groups.mixed(double))).distinct()
-    groups.add(cut(_verified(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), groups.sets, groups.like)))
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay: of each group the row whose id names it, all columns unchanged.
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, exact_dedup, mixing, ngram_join, pii, quality, toxicity, url_filter
+from colloquy.llm import bpe, exact_dedup, media, mixing, ngram_join, pii, quality, toxicity, url_filter
 from colloquy.llm.common import table
 
 
@@ -58,7 +58,12 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op4_mixing, op5_quality, op6_url_filter, op7_bpe, op8_toxicity, op9_ngram_join)}
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images: each row of embeddings is drawn as one."""
+    return media.find_copies(media.mosaics(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op4_mixing, op5_quality, op6_url_filter, op7_bpe, op8_toxicity, op9_ngram_join, op10_media)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
