@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, exact_dedup, media, mixing, ngram_join, pii, quality, toxicity, url_filter
+from colloquy.llm import bpe, exact_dedup, html_extract, media, mixing, ngram_join, pii, quality, toxicity, url_filter
 from colloquy.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 #: Shares of tokens that the mixed corpus is to have.
 TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
 
@@ -63,7 +67,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.find_copies(media.mosaics(table(spark, sf_dir, "embeddings")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op4_mixing, op5_quality, op6_url_filter, op7_bpe, op8_toxicity, op9_ngram_join, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_html_extract, op4_mixing, op5_quality, op6_url_filter, op7_bpe, op8_toxicity, op9_ngram_join, op10_media)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
