@@ -84,17 +84,25 @@ def _part_ways(entries: DataFrame, tested: DataFrame) -> DataFrame:
     return known.select(F.explode(sides).alias("side"), "key", "node").select(F.xxhash64("key", "side").alias("key"), "node").distinct()
 
 
-def link(live: DataFrame, groups: Groups, metric: bool) -> None:
+def link(live: DataFrame, groups: Groups, metric: bool, thin: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Finds the links that matter to the groups among nodes that share a key (live: key, node, lo,
     hi, the last two being the smallest and the largest node of the key).
 
     Linked nodes that are not in one group when large buckets are left must share two keys or more;
-    such buckets are joined on pairs of keys. metric: tested pairs have beyond and remote.
+    such buckets are joined on pairs of keys. metric: tested pairs have beyond and remote. thin: from
+    nodes with their roots (node, node_root) to the nodes that can be linked to another group's.
     """
+
+    def thinned(entries: DataFrame) -> DataFrame:
+        if thin is None or entries.isEmpty():
+            return entries
+        able = cut(thin(entries.select("node", "node_root").distinct()))
+        return groups.mixed(entries.drop("node_root").join(able, "node", "left_semi"))
+
     pairs = ordered(live.select("node", F.explode(F.array("lo", "hi")).alias("b")).select(F.col("node").alias("a"), "b"))
     tested = cut(groups.verify(pairs))
     groups.add(tested)
-    entries = groups.mixed(live.select("key", "node", "lo"))
+    entries = thinned(groups.mixed(live.select("key", "node", "lo")))
     for flip in _FLIPS[:ROUNDS]:
         if entries.isEmpty():
             return
@@ -106,6 +114,7 @@ def link(live: DataFrame, groups: Groups, metric: bool) -> None:
         if not groups.add(found):
             break
         entries = groups.mixed(entries.drop("node_root"))
+    entries = thinned(entries)
     if entries.isEmpty():
         return
     if metric:

@@ -194,6 +194,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     return counted.select("a", "b", (100 * far <= limit).alias("linked"), (100 * far > limit).alias("beyond"), (100 * far > 2 * limit).alias("remote"))
 
 
+def _linkable(nodes: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """The nodes (node, node_root) that can be similar to a node of another group: a similar set
+    holds the given percentage of its elements, so that many must occur in other groups."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            packed = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+            n = np.array([len(x) for x in packed], dtype=np.int64)
+            columns = [np.repeat(np.array(c, dtype=np.int64), n) for c in (batch.column(0).to_pylist(), batch.column(1).to_pylist(), n)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, np.concatenate(packed))], names=["node", "root", "n", "element"])
+
+    elements = nodes.join(sets, "node").select("node", "node_root", "elements").mapInArrow(rows, "node long, root long, n long, element long")
+    shared = cut(elements.groupBy("element").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("element"))
+    held = elements.join(shared, "element", "left_semi").groupBy("node", "n").agg(F.count("*").alias("held"))
+    return held.where(F.col("held") * 100 >= F.col("n") * like.percent).select("node")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles and component_id (the smallest id reachable by links) for every row.
 
@@ -222,7 +239,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sets = cut(_sets(docs, wanted, id_col, text_col, like, seed))
         collect_garbage(docs.sparkSession)
         drop(prepared)
-        link(live, groups, metric=True)
+        link(live, groups, metric=True, thin=lambda nodes: _linkable(nodes, sets, like))
 
     roots = groups.rooted(members, "node")
     names = roots.where("node_root IS NOT NULL").groupBy("node_root").agg(F.min("id").alias("component"))
