@@ -30,7 +30,7 @@ SQL = {
 
 
 def with_sql(names: str, body: str) -> str:
-    """A DuckDB query whose WITH clause defines the named relations."""
+    """A DuckDB query whose WITH clause defines the named relations; body may go on with more."""
     return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in names.split()) + "\n" + body
 
 
