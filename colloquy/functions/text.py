@@ -119,10 +119,14 @@ def recover_items(text: str | None) -> list[dict]:
     return []
 
 
-@F.pandas_udf("array<string>")
-def recovered(texts: pd.Series) -> pd.Series:
+def recovered(column: Column) -> Column:
     """The items of each answer as JSON texts with sorted keys."""
-    return texts.map(lambda t: [json.dumps(x, sort_keys=True, ensure_ascii=False) for x in recover_items(t)])
+
+    @F.pandas_udf("array<string>")
+    def items(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [json.dumps(x, sort_keys=True, ensure_ascii=False) for x in recover_items(t)])
+
+    return items(column)
 
 
 def latest_by(rows: DataFrame, key: str, order: str) -> DataFrame:
