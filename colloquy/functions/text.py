@@ -18,10 +18,8 @@ def excerpt(column: Column, most: int = 280) -> Column:
     """A text of at most so many bytes; a longer one ends at a whole character before, with an
     ellipsis."""
     data = F.encode(column, "UTF-8")
-    cuts = [F.decode(F.substring(data, 1, most - k), "UTF-8") for k in range(4)]
-    whole = [F.octet_length(F.substring(data, 1, most - k)) == F.octet_length(F.encode(c, "UTF-8")) for k, c in enumerate(cuts)]
-    clean = [w & ~c.endswith("�") for w, c in zip(whole, cuts, strict=True)]
-    best = F.coalesce(*[F.when(ok, c) for ok, c in zip(clean, cuts, strict=True)])
+    inside = [F.substring(F.hex(F.substring(data, most + 1 - k, 1)), 1, 1).isin("8", "9", "A", "B") for k in range(4)]
+    best = F.coalesce(*[F.when(~i, F.substring(data, 1, most - k).cast("string")) for k, i in enumerate(inside)])
     return F.when(F.octet_length(column) <= most, column).otherwise(F.concat(best, F.lit("…")))
 
 

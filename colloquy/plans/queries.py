@@ -222,8 +222,8 @@ QUERIES = {
     )
 }
 
-_LINES = "lines AS (SELECT t.session_id, t.id, t.start_ms, t.end_ms, t.text, coalesce(g.speaker_id, o.speaker_id) AS speaker_id FROM transcripts t LEFT JOIN segments g ON g.id = t.segment_id LEFT JOIN overlaps o ON o.line_id = t.id WHERE t.is_final)"
-_OVERLAPS = "overlaps AS (SELECT t.id AS line_id, arg_min(s.speaker_id, (s.start_ms, s.id)) AS speaker_id FROM transcripts t JOIN segments s ON s.session_id = t.session_id AND t.start_ms < s.end_ms AND t.end_ms > s.start_ms WHERE t.segment_id IS NULL GROUP BY t.id)"
+_LINES = "lines AS (SELECT t.session_id, t.id, t.start_ms, t.end_ms, t.text, coalesce(g.speaker_id, o.speaker_id) AS speaker_id FROM transcripts t LEFT JOIN segments g ON g.id = t.segment_id LEFT JOIN first_met o ON o.line_id = t.id WHERE t.is_final)"
+_OVERLAPS = "first_met AS (SELECT t.id AS line_id, arg_min(s.speaker_id, (s.start_ms, s.id)) AS speaker_id FROM transcripts t JOIN segments s ON s.session_id = t.session_id AND t.start_ms < s.end_ms AND t.end_ms > s.start_ms WHERE t.segment_id IS NULL GROUP BY t.id)"
 _LATEST = "latest AS (SELECT session_id, max(end_ms) FILTER (WHERE is_final) AS m FROM transcripts GROUP BY session_id)"
 _WINDOWS = "windows AS (SELECT session_id, unnest(generate_series(0, m - 1, 45000)) AS start_ms FROM latest WHERE m > 0)"
 _NEAR = """near AS (SELECT query, id, speaker_id, sim, row_number() OVER (PARTITION BY query ORDER BY round(sim, 9) DESC, id) AS place
@@ -291,6 +291,9 @@ ORACLE_SQL = {
     "script_share": r"""SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^\p{L}]', '', 'g')) >= 3 THEN round(length(regexp_replace(text, '[^\p{Latin}]', '', 'g'))::DOUBLE / length(regexp_replace(text, '[^\p{L}]', '', 'g')), 6) END AS latin,
         length(regexp_replace(text, '[\s\p{P}\p{S}]', '', 'g')) >= 2 AS meaningful FROM documents""",
     "reminder_titles": with_sql("reminders", "SELECT id, coalesce(title, CASE WHEN strlen(description) > 60 THEN left(description, 57) || '...' ELSE description END) AS title, coalesce(priority, 'medium') AS priority FROM reminders"),
+    "excerpts": with_sql("reminders", """SELECT id, CASE WHEN strlen(description) <= 280 THEN description
+        ELSE left(description, (SELECT max(n) FROM range(70, 281) t(n) WHERE strlen(left(description, n)) <= 280)) || '…' END AS excerpt FROM reminders"""),
+    "relative_dates": """SELECT event_id, CASE event_id % 5 WHEN 0 THEN '2024-03-02 15:00' WHEN 1 THEN '2024-03-04 09:00' WHEN 2 THEN '2024-03-01 12:30' WHEN 4 THEN '2024-03-02 09:15' END AS due FROM events""",
     "patch_reminders": with_sql("reminders", "SELECT id, CASE WHEN id % 2 = 0 THEN 'high' ELSE priority END AS priority, CASE WHEN id % 3 = 0 THEN 'New' ELSE title END AS title, status FROM reminders"),
     "cascade_delete": with_sql("reminders reminder_labels", "SELECT b.* FROM reminder_labels b WHERE NOT EXISTS (SELECT 1 FROM reminders r WHERE r.id = b.reminder_id AND r.status = 'archived')"),
     "unlink_speakers": with_sql("segments", "SELECT id, session_id, CASE WHEN speaker_id <> 'user' THEN speaker_id END AS speaker_id FROM segments"),

@@ -23,8 +23,8 @@ SQL = {
         CASE WHEN d.doc_id % 3 = 0 THEN d.doc_id % 40 || '-' || d.doc_id % 8 END AS source_window_id
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "reminder_labels": "SELECT doc_id AS reminder_id, 'quality' AS label_id FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1",
-    "user_segments": """SELECT user_id AS session_id, event_id AS id, epoch_ms(ts) - 1704067200000 AS start_ms,
-        epoch_ms(ts) - 1704067200000 + 1000 + CAST(floor(abs(value) * 100) AS BIGINT) % 9000 AS end_ms, event_type AS kind, value FROM events""",
+    "user_segments": """SELECT user_id AS session_id, event_id AS id, epoch_us(ts) // 1000 - 1704067200000 AS start_ms,
+        epoch_us(ts) // 1000 - 1704067200000 + 1000 + CAST(floor(abs(value) * 100) AS BIGINT) % 9000 AS end_ms, event_type AS kind, value FROM events""",
     "voices": "SELECT vec_id AS id, label AS speaker_id, embedding FROM embeddings",
 }
 
