@@ -8,8 +8,9 @@ first, groups are formed, and only members of different groups are compared furt
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import cut
@@ -63,10 +64,27 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _across(entries: DataFrame) -> DataFrame:
-    """Pairs of nodes of different groups that share a key."""
-    other = entries.select("key", F.col("node").alias("other"), F.col("node_root").alias("other_root"))
-    return ordered(entries.join(other, "key").where("node_root < other_root").select(F.col("node").alias("a"), F.col("other").alias("b")))
+@dataclass(frozen=True)
+class Marks:
+    """Short marks of nodes (rows: node and the columns names) and what two nodes' marks must fulfil
+    if they can be linked (near: from the names and the other node's names to a condition)."""
+
+    rows: DataFrame
+    names: list[str]
+    near: Callable[[list[str], list[str]], Column]
+
+
+def _across(entries: DataFrame, marks: Marks | None = None) -> DataFrame:
+    """Pairs of nodes of different groups that share a key and whose marks allow a link."""
+    names = marks.names if marks else []
+    if marks:
+        entries = cut(entries.join(marks.rows, "node"))
+    there = [f"other_{c}" for c in names]
+    other = entries.select("key", F.col("node").alias("other"), F.col("node_root").alias("other_root"), *[F.col(c).alias(t) for c, t in zip(names, there, strict=True)])
+    meet = F.col("node_root") < F.col("other_root")
+    if marks:
+        meet &= marks.near(names, there)
+    return ordered(entries.join(other, "key").where(meet).select(F.col("node").alias("a"), F.col("other").alias("b")))
 
 
 def _split_by_cost(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,13 +102,14 @@ def _part_ways(entries: DataFrame, tested: DataFrame) -> DataFrame:
     return known.select(F.explode(sides).alias("side"), "key", "node").select(F.xxhash64("key", "side").alias("key"), "node").distinct()
 
 
-def link(live: DataFrame, groups: Groups, metric: bool, thin: Callable[[DataFrame], DataFrame] | None = None) -> None:
+def link(live: DataFrame, groups: Groups, metric: bool, thin: Callable[[DataFrame], DataFrame] | None = None, marks: Marks | None = None) -> None:
     """Finds the links that matter to the groups among nodes that share a key (live: key, node, lo,
     hi, the last two being the smallest and the largest node of the key).
 
     Linked nodes that are not in one group when large buckets are left must share two keys or more;
     such buckets are joined on pairs of keys. metric: tested pairs have beyond and remote. thin: from
-    nodes with their roots (node, node_root) to the nodes that can be linked to another group's.
+    nodes with their roots (node, node_root) to the nodes that can be linked to another group's. marks
+    rule out pairs where the last pairs are drawn.
     """
 
     def thinned(entries: DataFrame) -> DataFrame:
@@ -120,9 +139,9 @@ def link(live: DataFrame, groups: Groups, metric: bool, thin: Callable[[DataFram
     if metric:
         entries = groups.mixed(_part_ways(entries.drop("node_root"), tested))
     few, many = _split_by_cost(entries)
-    pairs = _across(few)
+    pairs = _across(few, marks)
     if not many.isEmpty():
         other = many.select("node", F.col("key").alias("key2"))
         double = many.select("key", "node").join(other, "node").where("key < key2").select(F.xxhash64("key", "key2").alias("key"), "node").distinct()
-        pairs = pairs.union(_across(groups.mixed(double))).distinct()
+        pairs = pairs.union(_across(groups.mixed(double), marks)).distinct()
     groups.add(cut(groups.verify(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))))

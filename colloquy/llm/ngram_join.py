@@ -20,10 +20,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.bucket_links import Groups, link
+from colloquy.llm.bucket_links import Groups, Marks, link
 from colloquy.llm.common import collect_garbage, cut, drop, mix64, slices
 
 #: Segments on which similar sets agree beyond the one that the pigeonhole principle gives.
@@ -31,6 +31,8 @@ SPARE = 1
 #: Cost model: chance that an unrelated set has an element's place filled alike, sets met.
 ALIKE, MET = 0.05, 1e5
 CACHE_WORDS = 300_000
+#: 64-bit words of a set's parity sketch.
+SKETCH = 8
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -103,6 +105,14 @@ def fingerprints(elements: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def sketch(elements: np.ndarray) -> list[int]:
+    """Parities of a set's elements in 64 * SKETCH places. Two sets' sketches differ in no more
+    places than the sets differ in elements."""
+    place = (mix64(elements + _ODD[4]) % np.uint64(64 * SKETCH)).astype(np.int64)
+    odd = (np.bincount(place, minlength=64 * SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
+
+
 def index_keys(elements: np.ndarray, like: Likeness) -> np.ndarray:
     """Index entries of a set, for its own band and as the larger partner in the band below."""
     bounds, size = _bounds(like.percent), len(elements)
@@ -157,7 +167,7 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, like: Likeness, seed:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, like: Likeness, seed: int) -> DataFrame:
-    """node and its set (packed) for the wanted (id, node)."""
+    """node, its set (packed), the set's size and its sketch (s0, s1, ...) for the wanted (id, node)."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("node", "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,9 +176,24 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, like:
             sets = [shingles((t or "").encode("utf-8"), like.words, codes, seed) for t in batch.column(1).to_pylist()]
             nodes = batch.column(0).to_pylist()
             right = [k for k, s in enumerate(sets) if len(s) and fingerprints(s)[0] == nodes[k]]  # an id may have several texts
-            yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in right], pa.int64()), pa.array([sets[k].tobytes() for k in right], pa.binary())], names=["node", "elements"])
+            marks = np.array([[len(sets[k]), *sketch(sets[k])] for k in right], dtype=np.int64).reshape(-1, SKETCH + 1)
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in right], pa.int64()), pa.array([sets[k].tobytes() for k in right], pa.binary()), *map(pa.array, marks.T.copy())], names=["node", "elements", *names])
+
+    names = ["n", *[f"s{k}" for k in range(SKETCH)]]
+    return texts.mapInArrow(rows, "node long, elements binary, " + ", ".join(f"{c} long" for c in names))
+
+
+def _near_marks(sets: DataFrame, like: Likeness) -> Marks:
+    """Marks that rule out a link: sets that differ in d elements have n + m + d elements in union
+    and n + m - d in intersection, both twice, and d is at least what sizes and sketches differ in."""
+
+    def near(here: list[str], there: list[str]) -> Column:
+        n, m = F.col(here[0]), F.col(there[0])
+        differ = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(here[1:], there[1:], strict=True)), F.lit(0))
+        return F.greatest(differ.cast("long"), F.abs(n - m)) * (100 + like.percent) <= (n + m) * (100 - like.percent)
 
-    return texts.mapInArrow(rows, "node long, elements binary")
+    names = ["n", *[f"s{k}" for k in range(SKETCH)]]
+    return Marks(sets.select("node", *names), names, near)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
@@ -239,7 +264,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sets = cut(_sets(docs, wanted, id_col, text_col, like, seed))
         collect_garbage(docs.sparkSession)
         drop(prepared)
-        link(live, groups, metric=True, thin=lambda nodes: _linkable(nodes, sets, like))
+        link(live, groups, metric=True, thin=lambda nodes: _linkable(nodes, sets, like), marks=_near_marks(sets, like))
 
     roots = groups.rooted(members, "node")
     names = roots.where("node_root IS NOT NULL").groupBy("node_root").agg(F.min("id").alias("component"))
