@@ -128,8 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit_machine([np.frombuffer(r.b, np.int32) for r in sample], np.array([r.y for r in sample], dtype=np.int64))
 
 
-def score(docs: DataFrame, machine: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """keep's columns (the id unless given) and score, between 0 and 1.
+def score(docs: DataFrame, machine: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """keep's columns (the id unless given) and the score, between 0 and 1, under the given name.
 
     Null and empty texts have no terms and get the bias's score; very long texts are read whole;
     repeated rows are scored one by one. The machine that is broadcast has at most BUCKETS terms.
@@ -138,7 +138,7 @@ def score(docs: DataFrame, machine: FactorizationMachine, id_col: str = "doc_id"
     chosen = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text"))
     kinds = dict(chosen.dtypes)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", {name} double"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fm = shared.value
@@ -152,7 +152,7 @@ def score(docs: DataFrame, machine: FactorizationMachine, id_col: str = "doc_id"
                 rows.append(sorted(found))
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
             index = np.array([i for r in rows for i in r], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(fm.score_rows(offsets, index))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(fm.score_rows(offsets, index))], names=[*keep, name])
 
     return chosen.mapInArrow(scored, schema)
 
@@ -180,5 +180,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """The rows of docs that score below threshold, all columns unchanged. fit_docs: where the
     labelled rows' texts are, docs unless given."""
     machine = train(docs if fit_docs is None else fit_docs, labels, id_col, text_col, max_rows=max_rows)
-    marked = score(docs, machine, id_col, text_col, docs.columns)
-    return marked.where(F.col("score") < threshold).drop("score")
+    marked = score(docs, machine, id_col, text_col, docs.columns, "__score")
+    return marked.where(F.col("__score") < threshold).drop("__score")
