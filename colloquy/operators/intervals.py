@@ -66,9 +66,15 @@ def final_windows(latest: DataFrame, settings: Settings = DEFAULTS) -> DataFrame
 
 
 def window_lines(windows: DataFrame, lines: DataFrame) -> DataFrame:
-    """Lines that overlap each window for some time."""
-    w = windows.select("session_id", F.col("start_ms").alias("window_start"), F.col("end_ms").alias("window_end"))
-    return w.join(lines, "session_id").where((F.col("start_ms") < F.col("window_end")) & (F.col("end_ms") > F.col("window_start")))
+    """Lines that overlap each window for some time.
+
+    Both lie in grid cells and meet by (session, cell); a pair counts in the first cell that both
+    have, so it comes once, and long sessions spread over tasks.
+    """
+    w = windows.select("session_id", F.col("start_ms").alias("window_start"), F.col("end_ms").alias("window_end"), _cells(F.col("start_ms"), F.col("end_ms")).alias("cell"))
+    met = w.join(lines.withColumn("cell", _cells(F.col("start_ms"), F.col("end_ms"))), ["session_id", "cell"])
+    first = F.floor(F.greatest("start_ms", "window_start") / GRID_MS)
+    return met.where((F.col("start_ms") < F.col("window_end")) & (F.col("end_ms") > F.col("window_start")) & (F.col("cell") == first)).drop("cell")
 
 
 def clock(ms: Column) -> Column:
