@@ -106,10 +106,10 @@ def link(live: DataFrame, groups: Groups, metric: bool, thin: Callable[[DataFram
     """Finds the links that matter to the groups among nodes that share a key (live: key, node, lo,
     hi, the last two being the smallest and the largest node of the key).
 
-    Linked nodes that are not in one group when large buckets are left must share two keys or more;
-    such buckets are joined on pairs of keys. metric: tested pairs have beyond and remote. thin: from
-    nodes with their roots (node, node_root) to the nodes that can be linked to another group's. marks
-    rule out pairs where the last pairs are drawn.
+    marks rule out pairs as they are drawn in the buckets that are left. Without marks, linked nodes
+    that are not in one group by then must share two keys or more, and large buckets are joined on
+    pairs of keys. metric: tested pairs have beyond and remote. thin: from
+    nodes with their roots (node, node_root) to the nodes that can be linked to another group's.
     """
 
     def thinned(entries: DataFrame) -> DataFrame:
@@ -138,10 +138,13 @@ def link(live: DataFrame, groups: Groups, metric: bool, thin: Callable[[DataFram
         return
     if metric:
         entries = groups.mixed(_part_ways(entries.drop("node_root"), tested))
-    few, many = _split_by_cost(entries)
-    pairs = _across(few, marks)
-    if not many.isEmpty():
-        other = many.select("node", F.col("key").alias("key2"))
-        double = many.select("key", "node").join(other, "node").where("key < key2").select(F.xxhash64("key", "key2").alias("key"), "node").distinct()
-        pairs = pairs.union(_across(groups.mixed(double), marks)).distinct()
+    if marks:
+        pairs = _across(entries, marks)
+    else:
+        few, many = _split_by_cost(entries)
+        pairs = _across(few)
+        if not many.isEmpty():
+            other = many.select("node", F.col("key").alias("key2"))
+            double = many.select("key", "node").join(other, "node").where("key < key2").select(F.xxhash64("key", "key2").alias("key"), "node").distinct()
+            pairs = pairs.union(_across(groups.mixed(double))).distinct()
     groups.add(cut(groups.verify(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))))
