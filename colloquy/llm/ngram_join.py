@@ -6,9 +6,6 @@ more (a segment of weight 1 has to agree, one of weight 2 may differ in one elem
 sets agree on one segment. Sets are indexed by what they have in each segment, segments of weight
 2 also with each single element left out. A cost model chooses how many segments get weight 2.
 Candidates that share an index entry are verified by their whole sets.
-
-One more segment than needed makes similar sets agree on two segments at least, which is what
-bucket_links asks for where large buckets are left.
 """
 
 from __future__ import annotations
@@ -26,8 +23,6 @@ from pyspark.sql import functions as F
 from colloquy.llm.bucket_links import Groups, Marks, link
 from colloquy.llm.common import collect_garbage, cut, drop, mix64, slices
 
-#: Segments on which similar sets agree beyond the one that the pigeonhole principle gives.
-SPARE = 1
 #: Cost model: chance that an unrelated set has an element's place filled alike, sets met.
 ALIKE, MET = 0.05, 1e5
 CACHE_WORDS = 300_000
@@ -65,7 +60,7 @@ def _bounds(percent: int) -> np.ndarray:
 @lru_cache(4096)
 def allocate(k: int, size: int) -> tuple[int, int]:
     """Numbers of segments of weight 1 and 2 for pairs that differ in k elements at most."""
-    need = k + 1 + SPARE
+    need = k + 1
     double = np.arange(need // 2 + need % 2 + 1)
     single = np.maximum(need - 2 * double, 0)
     filled = size / (single + double)
@@ -136,7 +131,7 @@ def index_keys(elements: np.ndarray, like: Likeness) -> np.ndarray:
         weight = np.where(np.arange(m) < double, 2, 1)
         weak = (count == 0) | ((weight == 2) & (count == 1))
         # without entries for nothing, enough segments must be left to agree on
-        whole = int(weight.sum()) - int(weight[weak].sum()) < k + 1 + SPARE
+        whole = int(weight.sum()) - int(weight[weak].sum()) < k + 1
         out.append((mix64(total ^ salt))[(count > 0) | whole])
         if double:
             at = segment < double
