@@ -18,8 +18,6 @@ from colloquy.llm.components import connected
 
 #: Rounds in which large buckets are compared with one more of their members.
 ROUNDS = 3
-#: Pairs of a bucket that are compared directly, for each of its members.
-DIRECT = 32
 
 #: Orders in which a bucket's member to compare with is chosen.
 _FLIPS = [0x3C6EF372FE94F82B, 0x5BE0CD19137E2179, 0x1F83D9ABFB41BD6B]
@@ -87,13 +85,6 @@ def _across(entries: DataFrame, marks: Marks | None = None) -> DataFrame:
     return ordered(entries.join(other, "key").where(meet).select(F.col("node").alias("a"), F.col("other").alias("b")))
 
 
-def _split_by_cost(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries of keys with few pairs across groups for each entry, and the rest."""
-    sizes = entries.groupBy("key", "node_root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
-    marked = cut(entries.join(sizes.select("key", (F.col("n") * F.col("n") - F.col("same") <= 2 * DIRECT * F.col("n")).alias("few")), "key"))
-    return marked.where("few").drop("few"), marked.where(~F.col("few")).drop("few")
-
-
 def _part_ways(entries: DataFrame, tested: DataFrame) -> DataFrame:
     """Keys split in two where the triangle inequality allows it: a member linked to lo and one more
     than twice as far from lo as links reach are not linked, and need not meet."""
@@ -106,9 +97,8 @@ def link(live: DataFrame, groups: Groups, metric: bool, thin: Callable[[DataFram
     """Finds the links that matter to the groups among nodes that share a key (live: key, node, lo,
     hi, the last two being the smallest and the largest node of the key).
 
-    marks rule out pairs as they are drawn in the buckets that are left. Without marks, linked nodes
-    that are not in one group by then must share two keys or more, and large buckets are joined on
-    pairs of keys. metric: tested pairs have beyond and remote. thin: from
+    marks rule out pairs as they are drawn in the buckets that are left; all others are tested.
+    metric: tested pairs have beyond and remote. thin: from
     nodes with their roots (node, node_root) to the nodes that can be linked to another group's.
     """
 
@@ -138,13 +128,5 @@ def link(live: DataFrame, groups: Groups, metric: bool, thin: Callable[[DataFram
         return
     if metric:
         entries = groups.mixed(_part_ways(entries.drop("node_root"), tested))
-    if marks:
-        pairs = _across(entries, marks)
-    else:
-        few, many = _split_by_cost(entries)
-        pairs = _across(few)
-        if not many.isEmpty():
-            other = many.select("node", F.col("key").alias("key2"))
-            double = many.select("key", "node").join(other, "node").where("key < key2").select(F.xxhash64("key", "key2").alias("key"), "node").distinct()
-            pairs = pairs.union(_across(groups.mixed(double))).distinct()
+    pairs = _across(entries, marks)
     groups.add(cut(groups.verify(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))))

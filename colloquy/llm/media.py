@@ -1,9 +1,9 @@
 """Copies of images, cropped or edited, by local descriptors.
 
 Corners are found at several scales; around each, pairs of points turned by the patch's own
-orientation are compared, one bit for each. Bits are put into several tables by parts of them, so
-descriptors at a small Hamming distance meet, and two images are copies if enough of their
-matches agree on one similarity transform.
+orientation are compared, one bit for each. Descriptors of any two images are compared, block by
+block, as products of matrices; two images are copies if enough of their matches agree on one
+similarity transform.
 """
 
 from __future__ import annotations
@@ -17,20 +17,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.bucket_links import Groups, link
 from colloquy.llm.common import cut, slices
+from colloquy.llm.components import connected
 
 #: Scales, radius of a patch, distance that corners keep, least corner strength against the strongest.
 SCALES, RADIUS, APART, STRENGTH = (1.0, 0.75, 0.5), 18, 4, 0.01
-#: Bits of a descriptor, tables, bits of a table's key.
-BITS, TABLES, KEY_BITS = 256, 4, 60
+#: Bits of a descriptor.
+BITS = 256
+#: Bytes of corners that all tasks are given at a time, corners that are compared with as many at once.
+BLOCK_BYTES, TILE = 16 << 20, 1024
 #: Most differing bits of a match, pixels by which a match may miss, matches that must agree.
 MATCH_BITS, MISS, AGREE = 48, 3.0, 8
 
 _RNG = np.random.default_rng(20)
 _PAIRS = np.clip(_RNG.normal(0, RADIUS / 2.2, (BITS, 4)), -RADIUS * 0.7, RADIUS * 0.7)
 _DISC = np.stack([RADIUS * np.sqrt((np.arange(120) + 0.5) / 120) * f(np.arange(120) * 2.399963) for f in (np.cos, np.sin)], axis=1)
-_TABLE_BITS = np.stack([_RNG.permutation(BITS)[:KEY_BITS] for _ in range(TABLES)])
 
 #: One corner: place in the full image, scale, orientation, packed bits.
 CORNER = np.dtype([("x", "f4"), ("y", "f4"), ("scale", "f4"), ("angle", "f4"), ("bits", "u1", (BITS // 8,))])
@@ -119,14 +120,6 @@ def corners(grey: np.ndarray | None) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, CORNER)
 
 
-def table_keys(rows: np.ndarray) -> np.ndarray:
-    """Keys of an image's corners in all tables, each key once."""
-    bits = np.unpackbits(rows["bits"], axis=1)
-    weights = np.int64(1) << np.arange(KEY_BITS, dtype=np.int64)
-    keys = [(bits[:, part].astype(np.int64) @ weights) << 3 | k for k, part in enumerate(_TABLE_BITS)]
-    return np.unique(np.concatenate(keys)) if len(rows) else np.zeros(0, np.int64)
-
-
 def agreeing(a: np.ndarray, b: np.ndarray) -> int:
     """Most matches that one similarity transform explains. Each match proposes the transform that
     its scales and orientations give; matches are mutual nearest descriptors."""
@@ -147,7 +140,7 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> int:
 
 def _described(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
     chosen = images.select(id_col, image_col)
-    schema = f"id {dict(chosen.dtypes)[id_col]}, node long, n_corners long, corners binary, keys array<bigint>"
+    schema = f"id {dict(chosen.dtypes)[id_col]}, node long, n_corners long, corners binary"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -155,27 +148,99 @@ def _described(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
             found = [corners(decode(d)) for d in data]
             nodes = [int.from_bytes(hashlib.sha256(d or b"").digest()[:8], "big", signed=True) if len(f) else None for d, f in zip(data, found, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary()), pa.array([table_keys(f) for f in found], pa.list_(pa.int64()))],
-                names=["id", "node", "n_corners", "corners", "keys"],
+                [batch.column(0), pa.array(nodes, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())],
+                names=["id", "node", "n_corners", "corners"],
             )
 
     return chosen.mapInArrow(rows, schema)
 
 
-def _verifier(known: DataFrame):
-    left, right = (known.select(F.col("node").alias(c), F.col("corners").alias(f"{c}_corners")) for c in "ab")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        joined = pairs.join(left, "a").join(right, "b").select("a", "b", "a_corners", "b_corners")
-
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tiles(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Neighbouring images (from, to) with TILE corners together, or one image with more."""
+    out, start, total = [], 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if total and total + n > TILE:
+            out.append((start, k))
+            start, total = k, 0
+        total += n
+    return [*out, (start, len(sizes))] if len(sizes) else []
+
+
+def _factors(rows: np.ndarray, left: bool) -> np.ndarray:
+    """Rows whose products, left with right, are minus half the differing bits (exact in single precision)."""
+    bits = np.unpackbits(rows["bits"], axis=1).astype(np.float32)
+    half, one = -bits.sum(axis=1, keepdims=True) / 2, np.ones((len(rows), 1), np.float32)
+    return np.concatenate([bits, half, one] if left else [bits, one, half], axis=1)
+
+
+def _able(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray) -> np.ndarray:
+    """Pairs (image of a, image of b) in which AGREE corners of either have a descriptor of the other
+    within MATCH_BITS: others have fewer matches. a and b are factors of the images' corners."""
+    of_a, of_b = np.repeat(np.arange(len(a_sizes)), a_sizes), np.repeat(np.arange(len(b_sizes)), b_sizes)
+    row, column = np.divmod(np.flatnonzero(a @ b.T >= -MATCH_BITS / 2), len(b))
+    pair = of_a[row] * len(b_sizes) + of_b[column]
+    first = np.ones(len(row), bool)
+    first[1:] = (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])
+    enough = np.bincount(pair[first], minlength=len(a_sizes) * len(b_sizes)) >= AGREE
+    on = enough[pair]
+    meets = np.unique(pair[on] * len(b) + column[on]) // len(b)
+    found, n = np.unique(meets, return_counts=True)
+    return np.stack(np.divmod(found[n >= AGREE], len(b_sizes)), axis=1)
+
+
+class _Block:
+    """Images that others are compared with: (node, corners) in the order of their nodes."""
+
+    def __init__(self, images: list[tuple[int, bytes]]):
+        images.sort()
+        self.nodes, self.corners = [n for n, _ in images], [np.frombuffer(c, CORNER) for _, c in images]
+        self.sizes = np.array([len(c) for c in self.corners], np.int64)
+        self.above: dict[int, int] = {}
+
+    def _root(self, node: int) -> int:
+        while (up := self.above.get(node, node)) != node:
+            self.above[node] = self.above.get(up, up)
+            node = up
+        return node
+
+    def links(self, other: _Block) -> Iterator[tuple[int, int]]:
+        """Links to larger nodes of other, without those between images that earlier ones join."""
+        for c, d in _tiles(other.sizes):
+            right = _factors(np.concatenate(other.corners[c:d]), False)
+            for a, b in _tiles(self.sizes):
+                if self.nodes[a] >= other.nodes[d - 1]:
+                    break
+                left = _factors(np.concatenate(self.corners[a:b]), True)
+                for i, j in (_able(left, self.sizes[a:b], right, other.sizes[c:d]) + (a, c)).tolist():
+                    x, y = self.nodes[i], other.nodes[j]
+                    if x < y and (p := self._root(x)) != (q := self._root(y)) and agreeing(self.corners[i], other.corners[j]) >= AGREE:
+                        self.above[p] = q
+                        yield x, y
+
+
+def _links(known: DataFrame) -> DataFrame:
+    """Links (a, b) that join the same images as all links do. Every image with AGREE corners or more meets
+    every other: a block of images at a time is given to all tasks, so a task's memory does not grow with the
+    table; the work grows with the square of the number of corners."""
+    spark = known.sparkSession
+    able = known.where(F.length("corners") >= AGREE * CORNER.itemsize)
+    n = max(1, -(-(able.agg(F.sum(F.length("corners"))).first()[0] or 0) // BLOCK_BYTES))
+    block = F.least(F.floor((F.col("node") / 2.0**64 + 0.5) * n), F.lit(n - 1)).alias("block")
+    dealt = cut(able.select("node", "corners", block).repartition(4 * spark.sparkContext.defaultParallelism, "node").sortWithinPartitions("node"))
+    out = None
+    for k in range(n):
+        shared = spark.sparkContext.broadcast([(r.node, bytes(r.corners)) for r in dealt.where(F.col("block") == k).select("node", "corners").collect()])
+
+        def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = _Block(shared.value)
             for batch in slices(batches):
-                n = [agreeing(np.frombuffer(x, CORNER), np.frombuffer(y, CORNER)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([k >= AGREE for k in n], pa.bool_())], names=["a", "b", "linked"])
-
-        return joined.mapInArrow(rows, "a long, b long, linked boolean")
+                found = list(own.links(_Block(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return verify
+        found = cut(dealt.where(F.col("block") >= k).select("node", "corners").mapInArrow(rows, "a long, b long"))
+        shared.destroy()
+        out = found if out is None else out.union(found)
+    return out
 
 
 def find_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image") -> DataFrame:
@@ -183,21 +248,14 @@ def find_copies(images: DataFrame, id_col: str = "image_id", image_col: str = "i
 
     images has a binary column of PGM or PPM images. Images without corners, null and malformed
     ones among them, are linked with nothing; equal images are described as often as they occur but
-    compared once; repeated rows are in one group; further columns are not read. Two images are
-    candidates if a descriptor of theirs agrees in all bits of a table's key.
+    compared once; repeated rows are in one group; further columns are not read. Any two images meet.
     """
     described = cut(_described(images, id_col, image_col))
     members = described.select("id", "n_corners", "node")
-    known = cut(described.where("node IS NOT NULL").groupBy("node").agg(F.min("corners").alias("corners"), F.min("keys").alias("keys")))
-    entries = known.select("node", F.explode("keys").alias("key"))
-    shared = cut(entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"))
-    live = cut(entries.join(shared, "key").select("key", "node", "lo", "hi"))
-    groups = Groups(_verifier(known))
-    if not live.isEmpty():
-        link(live, groups, metric=False)
-    roots = groups.rooted(members, "node")
-    names = roots.where("node_root IS NOT NULL").groupBy("node_root").agg(F.min("id").alias("group"), F.count("*").alias("size"))
-    return roots.join(cut(names), "node_root", "left").select(F.col("id").alias(id_col), "n_corners", F.coalesce("group", "id").alias("group_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"))
+    roots = connected(_links(described.where("node IS NOT NULL").groupBy("node").agg(F.min("corners").alias("corners"))))
+    rooted = cut(members.join(roots, "node", "left").select("id", "n_corners", F.coalesce("root", "node").alias("node_root")))
+    names = rooted.where("node_root IS NOT NULL").groupBy("node_root").agg(F.min("id").alias("group"), F.count("*").alias("size"))
+    return rooted.join(cut(names), "node_root", "left").select(F.col("id").alias(id_col), "n_corners", F.coalesce("group", "id").alias("group_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"))
 
 
 def mosaics(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = 10) -> DataFrame:
