@@ -71,3 +71,15 @@ def test_copies_among_many_with_one_logo(spark, monkeypatch):
     found = {r.image_id: r.group_id for r in media.find_copies(described).collect()}
     print("copies", 20, "found", sum(found[2 * k] == found[2 * k + 1] for k in range(20)))
     assert found == {i: i - i % 2 for i, *_ in rows}
+
+
+def test_noisy_rescaled_and_turned_copies(spark):
+    """Copies whose descriptors differ in many bits: every link of brute force joins its images."""
+    images = []
+    for k in range(8):
+        whole = drawn(50 + k)
+        images += [whole, noisy(whole, 12, k), noisy(whole, 25, k), media._scaled(whole, 0.75), media._scaled(whole, 0.9), turned(whole, 33), turned(noisy(whole, 8, k), 12)]
+    groups, links = brute_groups(images)
+    found = found_groups(spark, images)
+    print("links", len(links), "joined", sum(found[a] == found[b] for a, b in links))
+    assert len(links) > 40 and found == groups
