@@ -29,11 +29,13 @@ MARKS, WORDS, WIDTH, HIDDEN, NUMBERS = 2048, 4096, 12, 20, 4
 DEPTH, CELLS = 40, 100_000
 
 #: Fixed values of HTML: elements whose content is no text, elements within a line, empty elements,
-#: and elements that end an open one of the same kind.
-UNSEEN = frozenset("script style noscript template head title svg math iframe object textarea select option button".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: elements that end an open one of the same kind, and what a head holds (anything else ends it).
+UNSEEN = frozenset("script style template head title svg iframe textarea select option".split())
+MATH = frozenset("math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_ITSELF = frozenset("p li dt dd tr td th".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 
 #: Landmarks and name parts of what is not the main text, and of what is.
 OUTSIDE_TAGS = frozenset("nav footer header aside form menu dialog".split())
@@ -51,6 +53,7 @@ class _Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, tuple[str, ...]]] = []
         self.unseen = self.links = 0
+        self.head = -1
         self.parts: list[str] = []
         self.linked = 0
         self.marks: tuple[str, ...] = ()
@@ -61,7 +64,14 @@ class _Blocks(HTMLParser):
             self.blocks.append((self.marks, text, self.linked))
         self.parts, self.linked = [], 0
 
+    def _end_head(self, body: bool) -> None:
+        """Ends an open head whose end tag is left out; body: with all that is open in it."""
+        if self.head >= 0 and (body or all(self.open[k][0] in ("title", "noscript") for k in range(self.head + 1, len(self.open)))):
+            self._close(self.head)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in IN_HEAD:
+            self._end_head(tag == "body")
         if tag == "br":
             self.parts.append(" ")
         if tag not in INLINE:
@@ -77,6 +87,8 @@ class _Blocks(HTMLParser):
                     break
         names = [n.lower() for key, value in attrs if key in ("class", "id", "role") and value for n in _NAME.findall(value)]
         self.open.append((tag, (f"<{tag}", *(f".{n}" for n in names))))
+        if tag == "head" and self.head < 0:
+            self.head = len(self.open) - 1
         self.unseen += tag in UNSEEN
         self.links += tag == "a"
 
@@ -85,6 +97,8 @@ class _Blocks(HTMLParser):
             self.unseen -= tag in UNSEEN
             self.links -= tag == "a"
         del self.open[k:]
+        if self.head >= k:
+            self.head = -1
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
@@ -97,6 +111,8 @@ class _Blocks(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self._end_head(False)
         if self.unseen:
             return
         if not self.parts or not any(p.strip() for p in self.parts):
