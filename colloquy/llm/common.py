@@ -22,6 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL text and DataFrame functions read it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def spare(columns: list[str]) -> str:
+    """A prefix that no column's name begins with, for columns of an operator's own."""
+    out = "__"
+    while any(c.lower().startswith(out) for c in columns):
+        out += "_"
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Short pieces of the incoming batches, so that few texts are Python strings at a time."""
     for batch in batches:
@@ -35,10 +48,12 @@ def texts_of(column: pa.Array) -> list[str]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; only without one (as in tests on
-    one machine) a temporary folder is set."""
+    """The folder that the session names in spark.checkpoint.dir. Without one a temporary folder is
+    set if all of Spark runs on this machine; elsewhere that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='colloquy-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

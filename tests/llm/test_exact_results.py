@@ -166,6 +166,8 @@ def test_held_out_accuracy(spark, query, label, divisor, remainder, least):
 def test_mixing_meets_targets(spark):
     rows = queries.op4_mixing(spark, MIDDLE).collect()
     assert all(r.rate >= 0 and r.copies >= 0 for r in rows)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect()}
+    assert all(r.n_tokens == len(texts[r.doc_id].encode().split()) for r in rows)
     total = sum(r.n_tokens for r in rows)
     for domain, target in queries.TARGETS.items():
         share = sum(r.n_tokens * r.rate * r.domains[domain] for r in rows) / total

@@ -50,6 +50,14 @@ def test_mixing_stage(passed):
     assert after and after <= before
 
 
+def test_mixing_plan_stays_short(spark, passed):
+    """The rates' steps stand over written posteriors: the classifier is not written out in each of them."""
+    import corpus_pipeline
+
+    plan = corpus_pipeline.mix_domains(spark, passed[3], SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000 and "UDF" not in plan
+
+
 def test_encoding_stage(passed):
     library = Tokenizer.from_file(queries.vocabulary_path())
     texts = {r.doc_id: r.text or "" for r in passed[4].collect()}
