@@ -1,8 +1,9 @@
 """Groups of linked things from buckets in which candidates meet.
 
-Two things are candidates if they share a bucket. Links matter only for the groups they form, so a
-large bucket is not compared pair by pair: its members are compared with a few of its members
-first, groups are formed, and only members of different groups are compared further.
+Two things are candidates if a point of one and a point of the other share a bucket. Short marks of
+points rule out most pairs inside the joins; the others are tested as wholes. Links matter only for
+the groups they form, so a bucket's points first meet a few of its points, groups form, and only
+points of different groups meet after that, tile by tile, so that no bucket is one task's work.
 """
 
 from __future__ import annotations
@@ -13,20 +14,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import cut
+from colloquy.llm.common import collect_garbage, cut
 from colloquy.llm.components import connected
 
-#: Rounds in which large buckets are compared with one more of their members.
-ROUNDS = 3
+#: Points of a bucket that meet as many others in one row group of the last join.
+TILE = 256
 
-#: Orders in which a bucket's member to compare with is chosen.
-_FLIPS = [0x3C6EF372FE94F82B, 0x5BE0CD19137E2179, 0x1F83D9ABFB41BD6B]
+#: Orders in which a bucket's point to meet is chosen, round by round.
+_FLIPS = (0x3C6EF372FE94F82B, 0x5BE0CD19137E2179)
 
 
 class Groups:
-    """The groups that the links found so far form. verify: from pairs (a, b) to tested pairs, with
-    a boolean column linked and, for a metric, beyond and remote (farther than linked things can be
-    from each other, and than twice that)."""
+    """The groups that the links found so far form. verify: from pairs of nodes (a, b) to tested pairs
+    (a, b, linked)."""
 
     def __init__(self, verify: Callable[[DataFrame], DataFrame]):
         self.verify, self.roots = verify, None
@@ -52,10 +52,13 @@ class Groups:
         return rows.join(known, column, "left").withColumn(f"{column}_root", F.coalesce("__root", column)).drop("__root")
 
     def mixed(self, entries: DataFrame) -> DataFrame:
-        """The entries (key, node, ...) of keys whose nodes are of several groups, with node_root."""
-        entries = cut(self.rooted(entries, "node"))
-        keys = entries.groupBy("key").agg(F.min("node_root").alias("lo"), F.max("node_root").alias("hi")).where("lo <> hi").select("key")
-        return cut(entries.join(keys, "key", "left_semi"))
+        """The entries (key, point, node) of keys whose nodes are of several groups, with node_root,
+        the key's largest group (main), and its numbers of entries (total) and of those not in main
+        (others)."""
+        entries = cut(self.rooted(entries.select("key", "point", "node"), "node"))
+        parts = entries.groupBy("key", "node_root").agg(F.count("*").alias("n"))
+        keys = parts.groupBy("key").agg(F.max_by("node_root", F.struct("n", "node_root")).alias("main"), F.sum("n").alias("total"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+        return cut(entries.join(keys, "key"))
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -64,69 +67,70 @@ def ordered(pairs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Marks:
-    """Short marks of nodes (rows: node and the columns names) and what two nodes' marks must fulfil
-    if they can be linked (near: from the names and the other node's names to a condition)."""
+    """Short marks of points (rows: point, node and the columns names) and what two points' marks must
+    fulfil if their nodes can be linked (near: from the names and the other's names to a condition)."""
 
     rows: DataFrame
     names: list[str]
     near: Callable[[list[str], list[str]], Column]
 
+    @property
+    def there(self) -> list[str]:
+        return [f"other_{c}" for c in self.names]
 
-def _across(entries: DataFrame, marks: Marks | None = None) -> DataFrame:
-    """Pairs of nodes of different groups that share a key and whose marks allow a link."""
-    names = marks.names if marks else []
-    if marks:
-        entries = cut(entries.join(marks.rows, "node"))
-    there = [f"other_{c}" for c in names]
-    other = entries.select("key", F.col("node").alias("other"), F.col("node_root").alias("other_root"), *[F.col(c).alias(t) for c, t in zip(names, there, strict=True)])
-    meet = F.col("node_root") < F.col("other_root")
-    if marks:
-        meet &= marks.near(names, there)
-    return ordered(entries.join(other, "key").where(meet).select(F.col("node").alias("a"), F.col("other").alias("b")))
+    def candidates(self, pairs: DataFrame) -> DataFrame:
+        """Pairs of nodes (a, b) whose points' marks allow a link, from pairs of points (p, q)."""
+        left = self.rows.select(F.col("point").alias("p"), F.col("node").alias("a"), *self.names)
+        right = self.rows.select(F.col("point").alias("q"), F.col("node").alias("b"), *[F.col(c).alias(t) for c, t in zip(self.names, self.there, strict=True)])
+        pairs = pairs.where("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
+        return ordered(pairs.join(left, "p").join(right, "q").where(self.near(self.names, self.there)).select("a", "b"))
 
 
-def _part_ways(entries: DataFrame, tested: DataFrame) -> DataFrame:
-    """Keys split in two where the triangle inequality allows it: a member linked to lo and one more
-    than twice as far from lo as links reach are not linked, and need not meet."""
-    known = entries.withColumn("a", F.least("node", "lo")).withColumn("b", F.greatest("node", "lo")).join(tested.select("a", "b", "beyond", "remote"), ["a", "b"], "left")
-    sides = F.array_compact(F.array(F.when(~F.coalesce("remote", F.lit(False)), F.lit(0)), F.when(F.coalesce("beyond", F.lit(False)), F.lit(1))))
-    return known.select(F.explode(sides).alias("side"), "key", "node").select(F.xxhash64("key", "side").alias("key"), "node").distinct()
+def _across(mixed: DataFrame, marks: Marks) -> DataFrame:
+    """Pairs of nodes of different groups that share a key and whose marks allow a link.
 
-
-def link(live: DataFrame, groups: Groups, metric: bool, thin: Callable[[DataFrame], DataFrame] | None = None, marks: Marks | None = None) -> None:
-    """Finds the links that matter to the groups among nodes that share a key (live: key, node, lo,
-    hi, the last two being the smallest and the largest node of the key).
-
-    marks rule out pairs as they are drawn in the buckets that are left; all others are tested.
-    metric: tested pairs have beyond and remote. thin: from
-    nodes with their roots (node, node_root) to the nodes that can be linked to another group's.
+    The points outside a key's main group meet all of its points. Both sides are dealt into tiles, and
+    each pair of tiles is a join key of its own: a hot key is many tasks.
     """
-
-    def thinned(entries: DataFrame) -> DataFrame:
-        if thin is None or entries.isEmpty():
-            return entries
-        able = cut(thin(entries.select("node", "node_root").distinct()))
-        return groups.mixed(entries.drop("node_root").join(able, "node", "left_semi"))
-
-    pairs = ordered(live.select("node", F.explode(F.array("lo", "hi")).alias("b")).select(F.col("node").alias("a"), "b"))
-    tested = cut(groups.verify(pairs))
+    tiles = lambda n: F.ceil(F.col(n) / TILE)
+    tile = lambda n: F.pmod(F.xxhash64("point"), tiles(n))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), tiles(n) - 1))
+    marked = cut(mixed.join(marks.rows.drop("node"), "point"))
+    left = marked.where("node_root <> main").select("key", "node", "node_root", *marks.names, tile("others").alias("i"), spread("total").alias("j"))
+    right = marked.select("key", F.col("node").alias("other"), F.col("node_root").alias("other_root"), "main", *[F.col(c).alias(t) for c, t in zip(marks.names, marks.there, strict=True)], tile("total").alias("j"), spread("others").alias("i"))
+    meet = (F.col("node_root") < F.col("other_root")) | ((F.col("node_root") > F.col("other_root")) & (F.col("other_root") == F.col("main")))
+    return ordered(left.join(right, ["key", "i", "j"]).where(meet & marks.near(marks.names, marks.there)).select(F.col("node").alias("a"), F.col("other").alias("b")))
+
+
+def link(entries: DataFrame, marks: Marks, groups: Groups) -> None:
+    """Finds the links that matter to the groups among nodes with points that share a key (entries: key
+    and point, no entry twice).
+
+    Every pair of nodes that share a key is tested or ruled out by marks, but for pairs of nodes that
+    other links have joined by then.
+    """
+    shared = cut(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    collect_garbage(entries.sparkSession)
+    live = cut(entries.join(shared, "key").join(marks.rows.select("point", "node"), "point"))
+    collect_garbage(entries.sparkSession)
+    ends = live.groupBy("key").agg(F.min("point").alias("lo"), F.max("point").alias("hi"))
+    pairs = live.join(ends, "key").select(F.col("point").alias("p"), F.explode(F.array("lo", "hi")).alias("q"))
+    tested = cut(groups.verify(cut(marks.candidates(pairs))))
     groups.add(tested)
-    entries = thinned(groups.mixed(live.select("key", "node", "lo")))
-    for flip in _FLIPS[:ROUNDS]:
-        if entries.isEmpty():
+    crowded = live.where("size > 3")  # in smaller buckets lo and hi have met all others
+    mixed = groups.mixed(crowded)
+    for flip in _FLIPS:
+        if mixed.isEmpty():
             return
-        middle = entries.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.lit(flip))).bitwiseXOR(F.lit(flip)).alias("b"))
-        near = groups.rooted(entries.join(middle, "key"), "b").where("node_root <> b_root")
-        new = ordered(near.select(F.col("node").alias("a"), "b")).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = cut(groups.verify(new))
+        first = F.min(F.struct(F.col("point").bitwiseXOR(F.lit(flip)).alias("place"), "point", "node_root"))
+        chosen = mixed.groupBy("key").agg(first.alias("c")).select("key", F.col("c.point").alias("q"), F.col("c.node_root").alias("q_root"))
+        pairs = mixed.join(chosen, "key").where("node_root <> q_root").select(F.col("point").alias("p"), "q")
+        found = cut(groups.verify(cut(marks.candidates(pairs).join(tested.select("a", "b"), ["a", "b"], "left_anti"))))
         tested = tested.union(found)
         if not groups.add(found):
             break
-        entries = groups.mixed(entries.drop("node_root"))
-    entries = thinned(entries)
-    if entries.isEmpty():
-        return
-    if metric:
-        entries = groups.mixed(_part_ways(entries.drop("node_root"), tested))
-    pairs = _across(entries, marks)
-    groups.add(cut(groups.verify(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))))
+        mixed = groups.mixed(mixed)
+    if not mixed.isEmpty():
+        pairs = cut(_across(mixed, marks))
+        groups.add(cut(groups.verify(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))))
+    collect_garbage(entries.sparkSession)

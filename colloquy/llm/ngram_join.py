@@ -5,23 +5,24 @@ most k elements, so if the universe of elements is hashed into segments of total
 more (a segment of weight 1 has to agree, one of weight 2 may differ in one element), two similar
 sets agree on one segment. Sets are indexed by what they have in each segment, segments of weight
 2 also with each single element left out. A cost model chooses how many segments get weight 2.
-Candidates that share an index entry are verified by their whole sets.
+Candidates that share an index entry are verified by their words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.bucket_links import Groups, Marks, link
-from colloquy.llm.common import collect_garbage, cut, drop, mix64, slices
+from colloquy.llm.common import cut, mix64, quoted, slices, spare
 
 #: Cost model: chance that an unrelated set has an element's place filled alike, sets met.
 ALIKE, MET = 0.05, 1e5
@@ -32,6 +33,9 @@ SKETCH = 8
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
+_LOG_FACTORIAL = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 60)))])
+
+
 @dataclass(frozen=True)
 class Likeness:
     """Word n-grams of this many words; similar if 100 * intersection >= percent * union."""
@@ -59,15 +63,28 @@ def _bounds(percent: int) -> np.ndarray:
 
 @lru_cache(4096)
 def allocate(k: int, size: int) -> tuple[int, int]:
-    """Numbers of segments of weight 1 and 2 for pairs that differ in k elements at most."""
-    need = k + 1
+    """Numbers of segments of weight 1 and 2 for pairs that differ in k elements at most.
+
+    The costs of a choice are its index entries and the unrelated sets met. Segments beyond the weight
+    of k + 1 cost no entries: each set leaves out as many of its emptiest segments of weight 1, in
+    which unrelated sets meet most; but they make all segments emptier.
+    """
+    need, best = k + 1, (np.inf, k + 1, 0)
     double = np.arange(need // 2 + need % 2 + 1)
-    single = np.maximum(need - 2 * double, 0)
-    filled = size / (single + double)
-    index = single + double * (1 + filled)
-    met = MET * (single * ALIKE**filled + double * (1 + filled) * ALIKE ** np.maximum(filled - 1, 0))
-    best = int(np.argmin(index + met))
-    return int(single[best]), int(double[best])
+    elements = np.arange(60)[:, None]
+    for more in (0.0, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4):
+        base = np.maximum(need - 2 * double, 0)
+        single = base + np.ceil(base * more)
+        filled = 0.9 * size / (single + double)  # a band's sets are a little smaller than its largest
+        chance = np.exp(elements * np.log(filled) - filled - _LOG_FACTORIAL[:60, None])
+        left_out = np.where(single > 0, (single - base) / np.maximum(single, 1), 0)
+        kept = np.clip(np.cumsum(chance, axis=0) - left_out, 0, chance)
+        met = single * (kept * ALIKE**elements).sum(axis=0) + double * (1 + filled) * np.exp(-filled * (1 - ALIKE)) / ALIKE
+        cost = base + double * (1 + filled) + MET * met
+        at = int(np.argmin(cost))
+        if cost[at] < best[0]:
+            best = (float(cost[at]), int(single[at]), int(double[at]))
+    return best[1], best[2]
 
 
 class _Codes(dict):
@@ -126,59 +143,42 @@ def index_keys(elements: np.ndarray, like: Likeness) -> np.ndarray:
         value = mix64(elements * _ODD[2])
         total = np.zeros(m, dtype=np.uint64)
         np.add.at(total, segment, value)
-        count = np.bincount(segment, minlength=m)
         salt = mix64((np.arange(m, dtype=np.uint64) * _ODD[3] + np.uint64(group)) * _ODD[4])
-        weight = np.where(np.arange(m) < double, 2, 1)
-        weak = (count == 0) | ((weight == 2) & (count == 1))
-        # without entries for nothing, enough segments must be left to agree on
-        whole = int(weight.sum()) - int(weight[weak].sum()) < k + 1
-        out.append((mix64(total ^ salt))[(count > 0) | whole])
+        key = mix64(total ^ salt)
+        # the emptiest segments of weight 1 are left out, in an order of their contents alone: of two sets the one that
+        # goes further leaves out all that the other does, and one segment on which they agree remains
+        count = np.bincount(segment, minlength=m)[double:]
+        order = np.lexsort((key[double:], count)) + double
+        out += [key[:double], key[order[single + 2 * double - (k + 1) :]]]
         if double:
             at = segment < double
-            seg, val = segment[at], value[at]
-            if not whole:
-                more = count[seg] > 1
-                seg, val = seg[more], val[more]
-            out.append(mix64((total[seg] - val) ^ salt[seg]))
+            seg = segment[at]
+            out.append(mix64((total[seg] - value[at]) ^ salt[seg]))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=np.uint64)
 
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str, like: Likeness, seed: int) -> DataFrame:
-    chosen = docs.select(id_col, text_col)
-    schema = f"id {dict(chosen.dtypes)[id_col]}, n long, node long, check long, keys array<bigint>"
+def _prepared(rows: DataFrame, like: Likeness, seed: int) -> DataFrame:
+    """rows (id, digest, text) with a number of their own, set size, fingerprints, sketch (s0, s1, ...) and
+    index entries in place of the text."""
+    kind = dict(rows.dtypes)["id"]
+    names = [f"s{k}" for k in range(SKETCH)]
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes()
+    def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, number = _Codes(), TaskContext.get().partitionId() << 40
         for batch in slices(batches):
-            sets = [shingles((t or "").encode("utf-8"), like.words, codes, seed) for t in batch.column(1).to_pylist()]
+            sets = [shingles((t or "").encode("utf-8"), like.words, codes, seed) for t in batch.column(2).to_pylist()]
+            row = np.arange(number, number + len(sets))
+            number += len(sets)
             marks = [fingerprints(s) if len(s) else (None, None) for s in sets]
+            sketches = np.array([sketch(s) for s in sets], dtype=np.int64).reshape(-1, SKETCH)
             keys = [index_keys(s, like).view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "n", "node", "check", "keys"],
-            )
-
-    return chosen.mapInArrow(rows, schema)
+            columns = [batch.column(0), batch.column(1), pa.array(row), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, sketches.T.copy()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "row", "n", "node", "check", *names, "keys"])
 
+    return rows.mapInArrow(prepared, f"id {kind}, digest binary, row long, n long, node long, check long, {', '.join(f'{c} long' for c in names)}, keys array<bigint>")
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, like: Likeness, seed: int) -> DataFrame:
-    """node, its set (packed), the set's size and its sketch (s0, s1, ...) for the wanted (id, node)."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").select("node", "text")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes()
-        for batch in slices(batches):
-            sets = [shingles((t or "").encode("utf-8"), like.words, codes, seed) for t in batch.column(1).to_pylist()]
-            nodes = batch.column(0).to_pylist()
-            right = [k for k, s in enumerate(sets) if len(s) and fingerprints(s)[0] == nodes[k]]  # an id may have several texts
-            marks = np.array([[len(sets[k]), *sketch(sets[k])] for k in right], dtype=np.int64).reshape(-1, SKETCH + 1)
-            yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in right], pa.int64()), pa.array([sets[k].tobytes() for k in right], pa.binary()), *map(pa.array, marks.T.copy())], names=["node", "elements", *names])
-
-    names = ["n", *[f"s{k}" for k in range(SKETCH)]]
-    return texts.mapInArrow(rows, "node long, elements binary, " + ", ".join(f"{c} long" for c in names))
-
-
-def _near_marks(sets: DataFrame, like: Likeness) -> Marks:
+def _near(like: Likeness) -> tuple[list[str], Callable[[list[str], list[str]], Column]]:
     """Marks that rule out a link: sets that differ in d elements have n + m + d elements in union
     and n + m - d in intersection, both twice, and d is at least what sizes and sketches differ in."""
 
@@ -187,48 +187,54 @@ def _near_marks(sets: DataFrame, like: Likeness) -> Marks:
         differ = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(here[1:], there[1:], strict=True)), F.lit(0))
         return F.greatest(differ.cast("long"), F.abs(n - m)) * (100 + like.percent) <= (n + m) * (100 - like.percent)
 
-    names = ["n", *[f"s{k}" for k in range(SKETCH)]]
-    return Marks(sets.select("node", *names), names, near)
+    return ["n", *[f"s{k}" for k in range(SKETCH)]], near
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """a, b, linked, beyond and remote for pairs (a, b), from the sizes of intersection and union."""
-    left, right = (sets.select(F.col("node").alias(c), F.col("elements").alias(f"{c}_set")) for c in "ab")
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set")
+class _Numbers(dict):
+    """Word to a number of its own."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 512):
-            both, union = [], []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                n = int((q[at] == p).sum())
-                both.append(n)
-                union.append(len(p) + len(q) - n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "both", "any"])
-
-    counted = joined.mapInArrow(rows, "a long, b long, both long, any long").distinct()
-    far, limit = F.col("any") - F.col("both"), F.col("any") * (100 - like.percent)  # Jaccard distance over its limit
-    return counted.select("a", "b", (100 * far <= limit).alias("linked"), (100 * far > limit).alias("beyond"), (100 * far > 2 * limit).alias("remote"))
-
-
-def _linkable(nodes: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """The nodes (node, node_root) that can be similar to a node of another group: a similar set
-    holds the given percentage of its elements, so that many must occur in other groups."""
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = len(self)
+        return out
+
+
+def whole_shingles(tokens: list[np.ndarray], words: int) -> list[np.ndarray]:
+    """The different shingles of texts given as word numbers: equal numbers stand for equal shingles,
+    across the texts too. A text of fewer words is one shingle, filled up with a number of no word."""
+    bits = int(max(max(t.max() for t in tokens), sum(map(len, tokens)))).bit_length() + 1
+    width = [min(words, len(t)) for t in tokens]
+    at = [t[: len(t) - w + 1] for t, w in zip(tokens, width, strict=True)]
+    filled = 1
+    for k in range(1, words):
+        if (filled + 1) * bits > 62:
+            _, again = np.unique(np.concatenate(at), return_inverse=True)
+            at, filled = np.split(again.astype(np.int64), np.cumsum([len(a) for a in at])[:-1]), 1
+        at = [(a << bits) | (t[k : k + len(a)] if w > k else (1 << bits) - 1) for a, t, w in zip(at, tokens, width, strict=True)]
+        filled += 1
+    return [np.unique(a) for a in at]
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            packed = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
-            n = np.array([len(x) for x in packed], dtype=np.int64)
-            columns = [np.repeat(np.array(c, dtype=np.int64), n) for c in (batch.column(0).to_pylist(), batch.column(1).to_pylist(), n)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, np.concatenate(packed))], names=["node", "root", "n", "element"])
 
-    elements = nodes.join(sets, "node").select("node", "node_root", "elements").mapInArrow(rows, "node long, root long, n long, element long")
-    shared = cut(elements.groupBy("element").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("element"))
-    held = elements.join(shared, "element", "left_semi").groupBy("node", "n").agg(F.count("*").alias("held"))
-    return held.where(F.col("held") * 100 >= F.col("n") * like.percent).select("node")
+def _verified(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
+    """a, b and linked for pairs (a, b), from the words of both texts (texts: node, text)."""
+    left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text")) for c in "ab")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            linked = []
+            seen, numbers = {}, _Numbers()
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if len(numbers) > 1 << 18:
+                    seen, numbers = {}, _Numbers()
+                for node, text in ((a, x), (b, y)):
+                    if node not in seen:
+                        seen[node] = np.array([numbers[w] for w in text.encode("utf-8").lower().split()], dtype=np.int64)
+                p, q = whole_shingles([seen[a], seen[b]], like.words)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                linked.append(100 * both >= like.percent * (len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+
+    return joined.mapInArrow(rows, "a long, b long, linked boolean")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -237,39 +243,49 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null texts are empty: no shingles, linked with nothing (component_id is the own id). Equal sets
     count as one node; repeated rows are in one group; a null id takes part like any other and is
     no component_id unless its whole group has none. Very long texts have more shingles and more
-    index entries in proportion. Shingles are compared as 64-bit codes.
+    index entries in proportion. The index and the counts use 64-bit codes of shingles, links are
+    confirmed on the words. No columns but these two are read.
     """
-    like, seed = Likeness(words, percent), 0
+    found = _grouped(docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")), Likeness(words, percent))
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
+def _grouped(rows: DataFrame, like: Likeness) -> DataFrame:
+    """id, digest, n_shingles and component_id for every row (id, text)."""
+    rows, seed = rows.select("id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"), "text"), 0
+    names, near = _near(like)
     while True:
-        prepared = cut(_prepared(docs, id_col, text_col, like, seed))
-        nodes = cut(prepared.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"), F.min("check").alias("lo"), F.max("check").alias("hi")))
+        prepared = cut(_prepared(rows, like, seed))
+        # of rows with equal sets the one with the smallest id (a null id last) stands for the set
+        first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "row")).alias("first")
+        nodes = cut(prepared.where("node IS NOT NULL").groupBy("node").agg(first, F.min("check").alias("lo"), F.max("check").alias("hi"), *[F.first(c).alias(c) for c in names]))
         if nodes.where("lo <> hi").isEmpty():
             break
         seed += 1  # two sets share a fingerprint: others are drawn
-    members = cut(prepared.select("id", "n", "node"))
-
-    entries = prepared.where("node IS NOT NULL").select("node", F.explode("keys").alias("key"))
-    shared = cut(entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi"))
-    collect_garbage(docs.sparkSession)
-    live = cut(cut(entries.join(shared, "key").select("key", "node", "lo", "hi")).distinct())
-    collect_garbage(docs.sparkSession)
-    groups = Groups(lambda pairs: _verified(pairs, sets, like))
-    if not live.isEmpty():
-        wanted = live.select("node").distinct().join(nodes, "node").select("node", F.col("first").alias("id"))
-        sets = cut(_sets(docs, wanted, id_col, text_col, like, seed))
-        collect_garbage(docs.sparkSession)
-        drop(prepared)
-        link(live, groups, metric=True, thin=lambda nodes: _linkable(nodes, sets, like), marks=_near_marks(sets, like))
-
-    roots = groups.rooted(members, "node")
-    names = roots.where("node_root IS NOT NULL").groupBy("node_root").agg(F.min("id").alias("component"))
-    return roots.join(names, "node_root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    one = nodes.select("node", "first.id", "first.digest", "first.row")
+    entries = prepared.select("node", "row", "keys").join(one.select("node", "row"), ["node", "row"]).select(F.col("node").alias("point"), F.explode("keys").alias("key"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        wanted = one.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+        match = wanted.select("node", F.col("id").alias("first_id"), "digest")
+        texts = rows.join(match, "digest").where(F.col("id").eqNullSafe(F.col("first_id"))).select("node", "text").dropDuplicates(["node"])
+        return _verified(pairs, cut(texts), like)
+
+    groups = Groups(verify)
+    link(entries, Marks(nodes.select(F.col("node").alias("point"), "node", *names), names, near), groups)
+    roots = groups.rooted(prepared.select("id", "digest", "n", "node"), "node")
+    component = roots.where("node_root IS NOT NULL").groupBy("node_root").agg(F.min("id").alias("component"))
+    return roots.join(component, "node_root", "left").select("id", "digest", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay: of each group the row whose id names it, all columns unchanged.
+    """The rows of docs that stay: of each group the rows whose id names it, all columns unchanged.
 
-    Rows that repeat the same id stay together if that id stays; rows with a null id stay.
+    Rows that repeat the same id and text stay together; an id with several texts is judged text by
+    text; rows with a null id stay; empty texts stay. Columns of docs may have any names.
     """
-    groups = cut(similar_groups(docs, id_col, text_col, words, percent).where(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("component_id"))).select(id_col).distinct())
-    return docs.join(groups, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = spare(docs.columns)
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    gone = cut(_grouped(rows, Likeness(words, percent)).where("id <> component_id").select(F.col("id").alias(f"{own}id"), F.col("digest").alias(f"{own}digest")).distinct())
+    digest = F.unhex(F.sha2(F.coalesce(F.col(quoted(text_col)), F.lit("")), 256))
+    return docs.join(gone, (F.col(quoted(id_col)) == F.col(f"{own}id")) & (digest == F.col(f"{own}digest")), "left_anti").select(*[F.col(quoted(c)) for c in docs.columns])
