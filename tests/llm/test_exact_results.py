@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from colloquy.llm import bpe, exact_dedup, html_extract, media, mixing, ngram_join, pii, queries
+from colloquy.llm import bpe, exact_dedup, html_extract, media, mixing, ngram_join, pii, quality, queries, toxicity
 from colloquy.llm.common import crc_mod
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -163,6 +163,58 @@ def test_held_out_accuracy(spark, query, label, divisor, remainder, least):
     assert area >= least
 
 
+def area(scores, labels):
+    good, bad = scores[labels == 1], scores[labels == 0]
+    return float(np.mean((good[:, None] > bad) + 0.5 * (good[:, None] == bad)))
+
+
+def test_toxicity_learns_a_pair(spark):
+    """Texts are toxic if two words stand together or if neither is there: each word alone tells nothing. The
+    machine tells the texts apart, and without its vectors it does not."""
+    rng, rows = np.random.default_rng(1), []
+    for k in range(4000):
+        a, b = rng.random(2) < 0.5
+        words = [f"w{chr(97 + x // 26)}{chr(97 + x % 26)}" for x in rng.integers(0, 400, 20)] + ["foo"] * int(a) + ["bar"] * int(b)
+        rows.append((k, " ".join(rng.permutation(words)), int(a == b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.train(docs, docs)
+    truth = np.array([y for k, _, y in rows if crc_mod(k, 3) == 1])
+
+    def held_out_area():
+        scores = {r.doc_id: r.score for r in toxicity.score(docs, machine).collect()}
+        return area(np.array([scores[k] for k, _, _ in rows if crc_mod(k, 3) == 1]), truth)
+
+    assert held_out_area() > 0.95
+    machine.factor = np.zeros_like(machine.factor)
+    assert held_out_area() < 0.6
+
+
+def test_toxicity_scores_by_brute_force(spark, texts):
+    """Every pair of a text's terms, summed one by one from the machine's weights and vectors."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    machine = toxicity.train(docs, labels)
+    place = {int(b): k for k, b in enumerate(machine.active)}
+    terms = toxicity._Terms()
+    found = {r.doc_id: r.score for r in toxicity.score(docs, machine).collect()}
+    for i, text in sorted(texts.items())[:40]:
+        on = [place[int(b)] for b in toxicity.term_buckets(text, terms) if int(b) in place]
+        logit = machine.bias + sum(machine.weight[k] for k in on)
+        v = machine.factor[on]
+        pairs = v @ v.T
+        logit += np.triu(pairs, 1).sum()
+        assert abs(found[i] - 1 / (1 + np.exp(-np.clip(logit, -30, 30)))) < 1e-6
+
+
+def test_quality_scores_by_brute_force(spark, texts):
+    """The registered scores, made again for each text alone by the net's formula."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    net = quality.train(docs, labels)
+    for r in quality.score_quality(docs, labels).collect():
+        z = np.clip((quality.features([texts[r.doc_id].encode()])[0] - net.mean) / net.scale, -8, 8)
+        logit = sum(w * np.tanh(sum(x * y for x, y in zip(z, net.w1[:, k])) + net.b1[k]) for k, w in enumerate(net.w2)) + net.b2
+        assert abs(r.score - 1 / (1 + np.exp(-logit))) < 1e-6
+
+
 def test_mixing_meets_targets(spark):
     rows = queries.op4_mixing(spark, MIDDLE).collect()
     assert all(r.rate >= 0 and r.copies >= 0 for r in rows)
