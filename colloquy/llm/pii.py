@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton finds anchors in one pass over a text: at-signs, plus signs, digits,
-schemes and identifier cues. At each anchor a local parser with fixed rules expands to both sides
+schemes and cues of identifiers and keys. At each anchor a local parser with fixed rules expands to both sides
 and validates what it found, so text without anchors costs nothing more.
 """
 
@@ -18,15 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import slices, texts_of
+from colloquy.llm.common import quoted, slices, texts_of
 
 #: Kinds in the order in which spans at the same place are listed: base kinds, then added ones.
-KINDS = ("email", "ip", "card", "phone", "account", "address")
+KINDS = ("email", "ip", "card", "phone", "account", "address", "secret")
 BASE = KINDS[:4]
 
-#: Cues of account identifiers and of postal addresses.
+#: Cues of account identifiers, of postal addresses and of keys.
 ACCOUNT_CUES = ("iban", "account", "acct", "konto", "compte", "cuenta", "passport", "ssn")
 ADDRESS_CUES = ("street", "avenue", "road", "boulevard", "straße", "strasse", "rue ", "calle ")
+SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "bearer")
 SCHEMES = ("://", "mailto:", "acct:", "tel:")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,8 +39,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _PROFILE = re.compile(r"://[A-Za-z0-9.-]+/(?:~|@|u/|user/|users/|in/|profile/)[A-Za-z0-9._-]+")
 _HANDLE = re.compile(r"(?:acct|tel):\+?[A-Za-z0-9._-]+")
 _AFTER_CUE = re.compile(r"(?:[\x20]?(?:no\.?|number|nr\.?))?[\x20]?[:#=]?[\x20]?([A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}|[0-9](?:[\x20-]?[0-9]){5,16})(?![A-Za-z0-9])")
-_HOUSE_BEFORE = re.compile(r"(?:^|(?<=\s))[0-9]{1,5}[a-z]?\x20(?:[A-ZÄÖÜ][\w.'-]{0,30}\x20){0,3}[\w'-]{0,30}$")
-_HOUSE_AFTER = re.compile(r"(?:[\w'-]{1,30}\x20){0,4}[0-9]{1,5}[a-z]?(?!\w)")
+_HOUSE_BEFORE = re.compile(r"(?:^|(?<=\s))[0-9]{1,5}[a-z]?\x20(?:[A-ZÄÖÜ][\w.'-]*\x20){0,3}[\w'-]*$")
+_HOUSE_AFTER = re.compile(r"(?:[\w'-]+\x20){0,4}[0-9]{1,5}[a-z]?(?!\w)")
+_AFTER_SECRET = re.compile(r"(?:\x20?[:=]\x20?|\x20)([\"']?)([A-Za-z0-9+/_.~=-]{12,})\1")
 
 
 class Span(NamedTuple):
@@ -74,7 +76,7 @@ def anchors() -> ahocorasick.Automaton:
         out.add_word(d, ("digit", 1))
     out.add_word("@", ("at", 1))
     out.add_word("+", ("plus", 1))
-    for kind, words in (("scheme", SCHEMES), ("account", ACCOUNT_CUES), ("address", ADDRESS_CUES)):
+    for kind, words in (("scheme", SCHEMES), ("account", ACCOUNT_CUES), ("address", ADDRESS_CUES), ("secret", SECRET_CUES)):
         for word in words:
             for form in {word, word.title(), word.upper()}:
                 out.add_word(form, (kind, len(form)))
@@ -120,19 +122,25 @@ def find_spans(text: str) -> list[Span]:
         elif anchor == "scheme":
             if m := _PROFILE.match(text, at) or _HANDLE.match(text, at):
                 start = at
-                while m[0][0] == ":" and start > free["account"] and at - start < 12 and text[start - 1].isalpha():
+                while m[0][0] == ":" and start > free["account"] and text[start - 1].isalpha():
                     start -= 1
                 take(start, m.end(), "account")
         elif anchor == "account":
             if (at == 0 or not text[at - 1].isalnum()) and (m := _AFTER_CUE.match(text, last + 1)):
                 code = m[1]
                 take(m.start(1), m.end(1), "account", not code[0].isalpha() or is_iban(code))
+        elif anchor == "secret":
+            if (m := _AFTER_SECRET.match(text, last + 1)) and any(map(str.isdigit, m[2])):
+                take(m.start(2), m.end(2), "secret")
         elif anchor == "address":
             if text[last] == " ":
                 m = _HOUSE_AFTER.match(text, last + 1)
                 start, end = (at, m.end()) if m and (at == 0 or not text[at - 1].isalnum()) else (0, 0)
             else:
-                low = max(free["address"], at - 140)
+                low = at
+                for _ in range(5):  # the house number and up to four words
+                    low = max(text.rfind(" ", free["address"], max(low, free["address"])), text.rfind("\n", free["address"], max(low, free["address"])))
+                low = max(low, free["address"])
                 m = _HOUSE_BEFORE.search(text[low:at])
                 after = last + 1 == len(text) or not text[last + 1].isalnum()
                 start, end = (low + m.start(), last + 1) if m and after else (0, 0)
@@ -153,8 +161,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     A null text is empty and has no spans; very long texts are read whole in one pass; repeated
     rows are treated one by one; further columns of the input are not read.
     """
-    chosen = docs.select(id_col, text_col)
-    schema = f"{id_col} {dict(chosen.dtypes)[id_col]}, found array<struct<start: int, end: int, kind: string>>, base_sha256 string, spans string"
+    chosen = docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)))
+    schema = f"{quoted(id_col)} {dict(chosen.dtypes)[id_col]}, found array<struct<start: int, end: int, kind: string>>, base_sha256 string, spans string"
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def spotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,4 +178,4 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def counted(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Numbers of spans by kind beside the digests."""
     n = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
-    return found.select(id_col, *(n(k).alias(f"n_{k}") for k in KINDS), "base_sha256", "spans")
+    return found.select(F.col(quoted(id_col)), *(n(k).alias(f"n_{k}") for k in KINDS), F.size("found").cast("long").alias("n_all"), "base_sha256", "spans")
