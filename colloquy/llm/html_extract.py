@@ -8,6 +8,7 @@ with varied page frames built from the same pages, so that no single mark decide
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -17,16 +18,19 @@ from html.parser import HTMLParser
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from colloquy.llm.common import slices, starts_of
+from colloquy.llm.common import quoted, slices, starts_of
 from colloquy.llm.labelled import smallest_hashes
 
 #: Pages that a fit reads at most, and variants that are built of each.
 MAX_FIT_PAGES, VARIANTS = 300, 2
+#: Share of the variants whose telling marks are taken away.
+HIDDEN_SHARE = 0.3
 #: Hash buckets of path marks and words, width of their vectors, and of the LSTM each way.
 MARKS, WORDS, WIDTH, HIDDEN, NUMBERS = 2048, 4096, 12, 20, 4
-#: Innermost and outermost open elements of which the path is made, blocks that are padded together.
-DEPTH, CELLS = 40, 100_000
+#: Blocks that are padded together.
+CELLS = 100_000
 
 #: Fixed values of HTML: elements whose content is no text, elements within a line, empty elements,
 #: elements that end an open one of the same kind, and what a head holds (anything else ends it).
@@ -52,6 +56,7 @@ class _Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.path: dict[str, int] = {}  # marks of the open elements, and how often each is there
         self.unseen = self.links = 0
         self.head = -1
         self.parts: list[str] = []
@@ -86,16 +91,23 @@ class _Blocks(HTMLParser):
                 if self.open[k][0] not in INLINE:
                     break
         names = [n.lower() for key, value in attrs if key in ("class", "id", "role") and value for n in _NAME.findall(value)]
-        self.open.append((tag, (f"<{tag}", *(f".{n}" for n in names))))
+        marks = () if tag in INLINE else (f"<{tag}", *(f".{n}" for n in names))
+        self.open.append((tag, marks))
+        for m in marks:
+            self.path[m] = self.path.get(m, 0) + 1
         if tag == "head" and self.head < 0:
             self.head = len(self.open) - 1
         self.unseen += tag in UNSEEN
         self.links += tag == "a"
 
     def _close(self, k: int) -> None:
-        for tag, _ in self.open[k:]:
+        for tag, marks in self.open[k:]:
             self.unseen -= tag in UNSEEN
             self.links -= tag == "a"
+            for m in marks:
+                self.path[m] -= 1
+                if not self.path[m]:
+                    del self.path[m]
         del self.open[k:]
         if self.head >= k:
             self.head = -1
@@ -116,8 +128,7 @@ class _Blocks(HTMLParser):
         if self.unseen:
             return
         if not self.parts or not any(p.strip() for p in self.parts):
-            near = self.open if len(self.open) <= DEPTH else self.open[: DEPTH // 2] + self.open[-DEPTH // 2 :]
-            self.marks = tuple(dict.fromkeys(m for tag, marks in near if tag not in INLINE for m in marks))
+            self.marks = tuple(self.path)
         self.parts.append(data)
         if self.links:
             self.linked += len(data)
@@ -185,6 +196,13 @@ def varied(blocks: list[Block], labels: np.ndarray, rng: np.random.Generator) ->
     return [b for b, _ in page], np.array([y for _, y in page], dtype=float)
 
 
+def hidden(blocks: list[Block]) -> list[Block]:
+    """The page without its landmarks and telling names: what is left to learn from is the place of a block
+    among the others, its words, its length and its links."""
+    telling = {"<" + t for t in OUTSIDE_TAGS | INSIDE_TAGS} | {"." + n for n in OUTSIDE_NAMES | INSIDE_NAMES}
+    return [(tuple(m for m in marks if m not in telling), text, linked) for marks, text, linked in blocks]
+
+
 def _bucket(token: str, buckets: int) -> int:
     return zlib.crc32(token.encode("utf-8", "replace")) % buckets
 
@@ -328,8 +346,8 @@ def fit_labeller(pages: list[list[Block]], epochs: int = 8, rate: float = 0.01,
     for blocks in pages:
         if blocks:
             labels = teacher(blocks)
-            data += [(blocks, labels)] * 2
-            data += [v for v in (varied(blocks, labels, rng) for _ in range(VARIANTS)) if v[0]]
+            data += [(blocks, labels), (hidden(blocks), labels)]
+            data += [(hidden(v[0]) if rng.random() < HIDDEN_SHARE else v[0], v[1]) for v in (varied(blocks, labels, rng) for _ in range(VARIANTS)) if v[0]]
     if not data:
         model.p["out"][:], model.p["bias"][:] = 0, -1
         return model
@@ -352,9 +370,26 @@ def fit_labeller(pages: list[list[Block]], epochs: int = 8, rate: float = 0.01,
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = MAX_FIT_PAGES) -> BlockLabeller:
-    """Fits on at most max_pages pages, those with the smallest hashes of their ids."""
-    sample = smallest_hashes(pages.select(id_col, html_col), id_col, max_pages).collect()
-    return fit_labeller([blocks_of(r[1]) for r in sorted(sample, key=lambda r: (r[0] is None, r[0], r[1] or ""))])
+    """Fits on at most max_pages pages, those with the smallest hashes of their ids; null ids are left out.
+
+    The ids are chosen first; their pages are read and the labeller is fitted in one task, as the sample
+    is bounded, and only its weights come to the driver.
+    """
+    rows = pages.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(html_col)).alias("html"))
+    known = rows.where("id IS NOT NULL").select("id").distinct()
+    ids = pages.sparkSession.createDataFrame(smallest_hashes(known, "id", max_pages).collect(), f"id {dict(rows.dtypes)['id']}")
+    sample = rows.join(F.broadcast(ids), "id").dropDuplicates(["id"]).repartition(1)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(i, blocks_of(h)) for batch in slices(batches) for i, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        model = fit_labeller([blocks for _, blocks in sorted(found, key=lambda f: f[0])])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model.p)], pa.binary())], names=["weights"])
+
+    weights = sample.mapInArrow(fitted, "weights binary").collect()
+    model = fit_labeller([])
+    if weights:
+        model.p = pickle.loads(bytes(weights[0][0]))
+    return model
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",), max_pages: int = MAX_FIT_PAGES) -> DataFrame:
@@ -366,9 +401,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """
     shared = pages.sparkSession.sparkContext.broadcast(train(pages, id_col, html_col, max_pages))
     names = [id_col, *keep]
-    chosen = pages.select(*names, html_col)
+    chosen = pages.select(*[F.col(quoted(c)) for c in names], F.col(quoted(html_col)))
     kinds = dict(chosen.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", text string, n_chars long"
+    schema = ", ".join(f"{quoted(c)} {kinds[c]}" for c in names) + ", text string, n_chars long"
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
