@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from colloquy.llm.common import slices
+from colloquy.llm.common import quoted, slices
 
-#: Entries that a broadcast rule set may have; larger lists belong in a join on host suffixes.
+#: Entries of one broadcast trie; a longer list is judged in several passes, trie by trie.
 MAX_RULES = 1_000_000
 
 #: Fixed rules of the query: host, path, verdict.
@@ -53,11 +54,7 @@ class RuleTrie:
 
     def __init__(self, rules: Iterable[Rule]):
         self.root: dict = {}
-        count = 0
         for rule in rules:
-            count += 1
-            if count > MAX_RULES:
-                raise ValueError(f"more than {MAX_RULES} URL rules: too large to broadcast")
             node = self.root
             for label in reversed(rule.host.split(".")) if rule.host else ():
                 node = node.setdefault(("host", label), {})
@@ -94,28 +91,31 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = DEFAULT
     """Verdict for every row: id, host, path, rule (null without one) and verdict.
 
     Null or malformed urls have an empty host and path and get the default verdict; repeated rows
-    are judged one by one; further columns of the input are not read. The trie is broadcast and
-    holds at most MAX_RULES entries.
+    are judged one by one; further columns of the input are not read. Each broadcast trie holds at most
+    MAX_RULES entries; of the passes' rules the longest counts, as within a trie.
     """
-    trie = RuleTrie(Rule(*x) for x in rules)
+    known = [Rule(*x) for x in rules]
+    tries = [RuleTrie(known[k : k + MAX_RULES]) for k in range(0, len(known), MAX_RULES)] or [RuleTrie([])]
+    chosen = pages.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(url_col)).alias("url"))
+    parts = "host string, path string, rule string, verdict string, rule_host long"
+    found = chosen.mapInArrow(_judge(pages, tries[0], False), f"id {dict(chosen.dtypes)['id']}, {parts}")
+    for trie in tries[1:]:
+        found = found.mapInArrow(_judge(pages, trie, True), found.schema)
+    return found.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+
+
+def _judge(pages: DataFrame, trie: RuleTrie, again: bool):
+    """One pass over pages (id, url), or over the rows of a pass before."""
     shared = pages.sparkSession.sparkContext.broadcast(trie)
-    chosen = pages.select(id_col, url_col)
-    schema = f"{id_col} {dict(chosen.dtypes)[id_col]}, host string, path string, rule string, verdict string"
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in slices(batches, 4096):
-            rows = [split_url(u) for u in batch.column(1).to_pylist()]
-            found = [known.find(*r) for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([h for h, _ in rows], pa.string()),
-                    pa.array([p for _, p in rows], pa.string()),
-                    pa.array([r and r.name for r in found], pa.string()),
-                    pa.array([r.verdict if r else default for r in found], pa.string()),
-                ],
-                names=[id_col, "host", "path", "rule", "verdict"],
-            )
-
-    return chosen.mapInArrow(judged, schema)
+            rows = list(zip(*(batch.column(k).to_pylist() for k in (1, 2)), strict=True)) if again else [split_url(u) for u in batch.column(1).to_pylist()]
+            best = [(r.name, r.verdict, len(r.host)) if (r := shared.value.find(*x)) else (None, None, None) for x in rows]
+            if again:
+                before = zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True)
+                best = [max(old, new, key=lambda b: (len(b[0]), b[2]) if b[0] is not None else (-1, -1)) for old, new in zip(before, best, strict=True)]
+            columns = [[h for h, _ in rows], [p for _, p in rows], [b[0] for b in best], [b[1] for b in best]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in columns), pa.array([b[2] for b in best], pa.int64())], names=["id", "host", "path", "rule", "verdict", "rule_host"])
+
+    return judged
