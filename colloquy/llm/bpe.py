@@ -18,14 +18,15 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from colloquy.llm.common import slices, texts_of
+from colloquy.llm.common import quoted, slices, texts_of
 
 #: Fixed value: the word pattern of the byte-level vocabulary.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Words that each of a worker's two generations of known words holds, and the longest such word.
-CACHE_WORDS, CACHE_LENGTH = 300_000, 64
+CACHE_WORDS, CACHE_LENGTH = 150_000, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -170,9 +171,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     empty text and has no tokens; very long texts are encoded whole; repeated rows are encoded one
     by one; further columns of the input are not read.
     """
-    chosen = docs.select(id_col, text_col)
+    chosen = docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)))
     kind = dict(chosen.dtypes)[id_col]
-    schema = f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * (with_ids and with_decoded)
+    schema = f"{quoted(id_col)} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * (with_ids and with_decoded)
     digest = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import cut, mix64, slices, starts_of
+from colloquy.llm.common import cut, mix64, quoted, slices, starts_of
 
 #: Bytes of a chunk: at least, on average beyond that, at most.
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 512, 2048, 16384
@@ -123,11 +123,17 @@ def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
-    """The rows of docs that stay, one of each group of equal texts, all columns unchanged."""
-    whole = verified_recipes(docs, text_col, bits)
-    groups = cut(duplicate_groups(whole.select(id_col, "__recipe"), id_col))
+    """The rows of docs that stay, one of each group of equal texts, all columns unchanged.
+
+    Null and empty texts are one group; of equal texts the largest id stays, a null id only if there is
+    no other, and of rows that repeat it one; an empty table stays empty; columns may have any names.
+    """
+    inner = docs.select(*[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(docs.columns)])  # no name clashes with the operator's own
+    own_id, own_text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    whole = verified_recipes(inner, own_text, bits)
+    groups = cut(duplicate_groups(whole.select(own_id, "__recipe"), own_id))
     kept = groups.select(F.col("keep_id").alias("__keep"), "__recipe")
-    out = whole.join(kept, "__recipe").where(F.col(id_col).eqNullSafe(F.col("__keep")))
+    out = whole.join(kept, "__recipe").where(F.col(own_id).eqNullSafe(F.col("__keep")))
     if not groups.where("same > 1").isEmpty():
         out = out.dropDuplicates(["__recipe"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

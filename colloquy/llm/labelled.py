@@ -26,6 +26,19 @@ def sample_ids(labels: DataFrame, label_col: str, id_col: str, held_out: Column,
     return smallest_hashes(rows, id_col, bound)
 
 
+def smallest_ids(rows: DataFrame, id_col: str, bound: int) -> DataFrame:
+    """At most bound different ids, those with the smallest hashes. Only rows below a hash bound, which is drawn
+    wide enough to hold them, are made distinct: the ids of a large table are not shuffled."""
+    n = rows.count()
+    share = min(1.0, 4.0 * bound / max(n, 1))
+    while True:
+        few = rows.where(F.xxhash64(id_col) < F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1 else rows
+        out = smallest_hashes(few.select(id_col).distinct(), id_col, bound)
+        if share >= 1 or out.count() == bound:
+            return out
+        share = min(1.0, 8 * share)  # many rows repeat their ids
+
+
 def collect_sample(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, featurise: Callable[[DataFrame], DataFrame]) -> list:
     """Features of the sampled documents on the driver. ids has at most the sample's bound of rows
     (16 bytes each), which is why it may be broadcast."""

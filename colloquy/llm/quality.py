@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import held_out_column, mix64, slices
-from colloquy.llm.labelled import MAX_FIT_ROWS, collect_sample, sample_ids, smallest_hashes
+from colloquy.llm.labelled import MAX_FIT_ROWS, collect_sample, sample_ids, smallest_ids
 
 #: Words of a window whose shares are looked at one by one.
 WINDOW = 40
@@ -207,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     outside the held-out remainder; labels 0 are never read. Without either the score is 0.5."""
     out = held_out_column(id_col, *held_out)
     trusted = sample_ids(labels, label_col, id_col, out, max_rows, F.col(label_col) == 1)
-    web = smallest_hashes(docs.where(F.col(id_col).isNotNull() & ~out).select(id_col).distinct(), id_col, max_rows).withColumn("__label", F.lit(0))
+    web = smallest_ids(docs.where(F.col(id_col).isNotNull() & ~out).select(id_col), id_col, max_rows).withColumn("__label", F.lit(0))
     samples = []
     for ids in (trusted, web):
         rows = sorted(collect_sample(docs, ids, id_col, text_col, lambda t: _featurised(t, text_col)), key=lambda r: r.k)

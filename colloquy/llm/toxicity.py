@@ -26,20 +26,22 @@ BUCKETS, FACTORS, BEGINNINGS = 1 << 20, 4, (4, 5, 6)
 #: of the fit that looks at no label.
 MIN_DOCUMENTS, MIN_SHARE = 4, 0.002
 #: Words that a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 50_000
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
+def buckets_of(word: str) -> list[int]:
+    return [xxhash.xxh64_intdigest(f) % BUCKETS for f in (word, *(f"{word[:k]}*" for k in BEGINNINGS if len(word) > k))]
+
+
 class _Terms(dict):
     """Word to its buckets."""
 
     def __missing__(self, word: str) -> list[int]:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        forms = [word, *(f"{word[:k]}*" for k in BEGINNINGS if len(word) > k)]
-        out = [xxhash.xxh64_intdigest(f) % BUCKETS for f in forms]
-        self[word] = out
+        out = self[word] = buckets_of(word)
         return out
 
 
@@ -199,12 +201,12 @@ class _Known(dict):
     """Word to the numbers of its active terms."""
 
     def __init__(self, number: dict[int, int]):
-        self.number, self.terms = number, _Terms()
+        self.number = number
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        out = self[word] = tuple(self.number[b] for b in self.terms[word] if b in self.number)
+        out = self[word] = tuple(self.number[b] for b in buckets_of(word) if b in self.number)
         return out
 
 
