@@ -68,6 +68,16 @@ def script_share(column: Column, script: str) -> Column:
     return F.when(letters >= 3, F.length(F.regexp_replace(column, rf"[^\p{{{script}}}]", "")) / letters)
 
 
+def looks_like(column: Column, language: str) -> Column:
+    """Whether a text is written as its language is: at least 3 letters, seven tenths of the script. Chinese has no
+    kana, Japanese has some. Letters: Latin, unified ideographs and kana; all else is passed over."""
+    count = lambda letters: F.length(F.regexp_replace(F.coalesce(column, F.lit("")), f"[^{letters}]", ""))
+    latin, cjk, kana = count("A-Za-zÀ-ɏ"), count("一-鿿㐀-䶿"), count("぀-ヿ")
+    total = latin + cjk + kana
+    fits = {"zh": (cjk >= 0.7 * total) & (kana == 0), "ja": (kana > 0) & (kana + cjk >= 0.7 * total)}
+    return (total >= 3) & fits.get(language, latin >= 0.7 * total)
+
+
 def first_quoted_line(items: DataFrame, lines: DataFrame) -> DataFrame:
     """(item_id, line_id): the first line of the item's session that contains the item's quote,
     without regard to case; null without one."""

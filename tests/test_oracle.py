@@ -5,8 +5,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from colloquy.plans import queries as Q
+from colloquy.plans import queries, store_queries
 
+QUERIES = queries.QUERIES | store_queries.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | store_queries.ORACLE_SQL
 TABLES = Path("/root/testdata/sf0.001")
 
 
@@ -23,18 +25,18 @@ def same(rows):
     return sorted(tuple(f"{x:.6g}" if isinstance(x, float) else str(x) for x in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_oracle(spark, duck, name):
-    found = Q.QUERIES[name](spark, str(TABLES))
+    found = QUERIES[name](spark, str(TABLES))
     columns = sorted(found.columns)
-    wanted = duck.sql(Q.ORACLE_SQL[name])
+    wanted = duck.sql(ORACLE_SQL[name])
     assert sorted(wanted.columns) == columns
     assert same(found.select(*columns).collect()) == same(wanted.select(*[f'"{c}"' for c in columns]).fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
-    found = Q.QUERIES[name](spark, str(TABLES))
+    found = QUERIES[name](spark, str(TABLES))
     assert found.count() > 0 and len(set(found.columns)) == len(found.columns)
 
 
