@@ -113,7 +113,8 @@ def link(entries: DataFrame, marks: Marks, groups: Groups) -> None:
     collect_garbage(entries.sparkSession)
     live = cut(entries.join(shared, "key").join(marks.rows.select("point", "node"), "point"))
     collect_garbage(entries.sparkSession)
-    ends = live.groupBy("key").agg(F.min("point").alias("lo"), F.max("point").alias("hi"))
+    # the first and last node's points: a group that shares many keys meets the same nodes in all of them
+    ends = live.groupBy("key").agg(F.min(F.struct("node", "point"))["point"].alias("lo"), F.max(F.struct("node", "point"))["point"].alias("hi"))
     pairs = live.join(ends, "key").select(F.col("point").alias("p"), F.explode(F.array("lo", "hi")).alias("q"))
     tested = cut(groups.verify(cut(marks.candidates(pairs))))
     groups.add(tested)
@@ -122,7 +123,7 @@ def link(entries: DataFrame, marks: Marks, groups: Groups) -> None:
     for flip in _FLIPS:
         if mixed.isEmpty():
             return
-        first = F.min(F.struct(F.col("point").bitwiseXOR(F.lit(flip)).alias("place"), "point", "node_root"))
+        first = F.min(F.struct(F.col("node").bitwiseXOR(F.lit(flip)).alias("place"), "point", "node_root"))
         chosen = mixed.groupBy("key").agg(first.alias("c")).select("key", F.col("c.point").alias("q"), F.col("c.node_root").alias("q_root"))
         pairs = mixed.join(chosen, "key").where("node_root <> q_root").select(F.col("point").alias("p"), "q")
         found = cut(groups.verify(cut(marks.candidates(pairs).join(tested.select("a", "b"), ["a", "b"], "left_anti"))))

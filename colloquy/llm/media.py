@@ -28,6 +28,9 @@ BITS, MATCH_BITS, MISS, AGREE = 256, 48, 3.0, 8
 #: Hamming tables: key bits beyond the logarithm of the number of corners, and the share of the matches with so
 #: many differing bits that the tables are to bring together. A pair of copies needs one of its matches.
 KEY_MARGIN, FOUND_SHARE, FOUND_BITS = 8, 0.5, 24
+#: Most differing bits of two corners that make their images candidates: the tables seldom bring together more, and
+#: unrelated corners are mostly beyond it.
+CANDIDATE_BITS = 40
 
 _RNG = np.random.default_rng(20)
 _PAIRS = np.clip(_RNG.normal(0, RADIUS / 2.2, (BITS, 4)), -RADIUS * 0.7, RADIUS * 0.7)
@@ -224,7 +227,7 @@ def tables_for(n_points: int) -> list[list[int]]:
 
 
 def _near(here: list[str], there: list[str]) -> Column:
-    return sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(here, there, strict=True)), F.lit(0)) <= MATCH_BITS
+    return sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(here, there, strict=True)), F.lit(0)) <= CANDIDATE_BITS
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def items_of_long_lines(lines: DataFrame) -> DataFrame:
         F.concat_ws("-", "session_id", "window_start", "id").alias("item_id"), "session_id", "window_start",
         F.when(n % 3 == 0, F.lit("null")).otherwise(F.concat(F.lit(" About "), F.left("text", F.lit(10)))).alias("title"), F.col("text").alias("description"),
         word.alias("priority"), F.when(n % 2 == 0, "2024-03-05T14:30").alias("due_time"), F.array(F.lit("none"), F.upper("speaker_name")).alias("labels"),
-        word.alias("confidence"), F.when(n % 5 == 0, F.lit("  ")).otherwise(F.upper(F.left("text", F.lit(24)))).alias("evidence_quote"), "speaker_name",
+        word.alias("confidence"), F.when(n % 5 == 0, F.lit("  ")).otherwise(F.lower(F.left("text", F.lit(24)))).alias("evidence_quote"), "speaker_name",
     )
 
 

@@ -292,7 +292,7 @@ _INSIDE = """windows AS (SELECT session_id, unnest(generate_series(0, m - 1, 450
         FROM windows w JOIN lines l ON l.session_id = w.session_id AND l.start_ms < w.window_start + 60000 AND l.end_ms > w.window_start), inside AS (SELECT * FROM met WHERE n_bytes >= 60)"""
 _ITEMS = """SELECT *, session_id || '-' || window_start || '-' || id AS item_id, nullif(CASE WHEN length(text) % 3 <> 0 THEN trim(' About ' || left(text, 10)) END, '') AS title,
     CASE length(text) % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' END AS word, CASE WHEN length(text) % 2 = 0 THEN '2024-03-05T14:30' END AS due_time,
-    CASE WHEN length(text) % 5 <> 0 THEN trim(upper(left(text, 24))) END AS quote"""
+    CASE WHEN length(text) % 5 <> 0 THEN trim(lower(left(text, 24))) END AS quote"""
 
 ORACLE_SQL = {
     "open_sessions": with_sql("sessions", "SELECT tenant_id, arg_min(id, (-started_s, id)) AS session_id FROM sessions WHERE mode = 'always_on' AND ended_s IS NULL GROUP BY tenant_id"),

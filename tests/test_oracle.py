@@ -1,5 +1,6 @@
 """Every query of the engine against its SQL twin in DuckDB, on the smallest tables."""
 
+import os
 from pathlib import Path
 
 import duckdb
@@ -9,7 +10,7 @@ from colloquy.plans import queries, store_queries
 
 QUERIES = queries.QUERIES | store_queries.QUERIES
 ORACLE_SQL = queries.ORACLE_SQL | store_queries.ORACLE_SQL
-TABLES = Path("/root/testdata/sf0.001")
+TABLES = Path(os.environ.get("ORACLE_TABLES", "/root/testdata/sf0.001"))
 
 
 @pytest.fixture(scope="module")
