@@ -116,8 +116,13 @@ def link(entries: DataFrame, marks: Marks, groups: Groups) -> None:
     # the first and last node's points: a group that shares many keys meets the same nodes in all of them
     ends = live.groupBy("key").agg(F.min(F.struct("node", "point"))["point"].alias("lo"), F.max(F.struct("node", "point"))["point"].alias("hi"))
     pairs = live.join(ends, "key").select(F.col("point").alias("p"), F.explode(F.array("lo", "hi")).alias("q"))
-    tested = cut(groups.verify(cut(marks.candidates(pairs))))
+    near = cut(marks.candidates(pairs))
+    tested = cut(groups.verify(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))  # one pair for each node first
     groups.add(tested)
+    apart = groups.rooted(groups.rooted(near, "a"), "b").where("a_root <> b_root").select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    found = cut(groups.verify(cut(apart)))
+    tested = tested.union(found)
+    groups.add(found)
     crowded = live.where("size > 3")  # in smaller buckets lo and hi have met all others
     mixed = groups.mixed(crowded)
     for flip in _FLIPS:
