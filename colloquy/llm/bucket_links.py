@@ -20,8 +20,8 @@ from colloquy.llm.components import connected
 #: Points of a bucket that meet as many others in one row group of the last join.
 TILE = 256
 
-#: Orders in which a bucket's point to meet is chosen, round by round.
-_FLIPS = (0x3C6EF372FE94F82B, 0x5BE0CD19137E2179)
+#: Orders in which a bucket's point to meet is chosen, round by round: the last node's, then two mixed orders.
+_FLIPS = (-1, 0x3C6EF372FE94F82B, 0x5BE0CD19137E2179)
 
 
 class Groups:
@@ -113,9 +113,9 @@ def link(entries: DataFrame, marks: Marks, groups: Groups) -> None:
     collect_garbage(entries.sparkSession)
     live = cut(entries.join(shared, "key").join(marks.rows.select("point", "node"), "point"))
     collect_garbage(entries.sparkSession)
-    # the first and last node's points: a group that shares many keys meets the same nodes in all of them
-    ends = live.groupBy("key").agg(F.min(F.struct("node", "point"))["point"].alias("lo"), F.max(F.struct("node", "point"))["point"].alias("hi"))
-    pairs = live.join(ends, "key").select(F.col("point").alias("p"), F.explode(F.array("lo", "hi")).alias("q"))
+    # the first node's point: a group that shares many keys meets the same node in all of them
+    first = live.groupBy("key").agg(F.min(F.struct("node", "point"))["point"].alias("q"))
+    pairs = live.join(first, "key").select(F.col("point").alias("p"), "q")
     near = cut(marks.candidates(pairs))
     tested = cut(groups.verify(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))  # one pair for each node first
     groups.add(tested)
@@ -123,13 +123,13 @@ def link(entries: DataFrame, marks: Marks, groups: Groups) -> None:
     found = cut(groups.verify(cut(apart)))
     tested = tested.union(found)
     groups.add(found)
-    crowded = live.where("size > 3")  # in smaller buckets lo and hi have met all others
+    crowded = live.where("size > 2")  # in smaller buckets the first has met the other
     mixed = groups.mixed(crowded)
     for flip in _FLIPS:
         if mixed.isEmpty():
             return
-        first = F.min(F.struct(F.col("node").bitwiseXOR(F.lit(flip)).alias("place"), "point", "node_root"))
-        chosen = mixed.groupBy("key").agg(first.alias("c")).select("key", F.col("c.point").alias("q"), F.col("c.node_root").alias("q_root"))
+        head = F.min(F.struct(F.col("node").bitwiseXOR(F.lit(flip)).alias("place"), "point", "node_root"))
+        chosen = mixed.groupBy("key").agg(head.alias("c")).select("key", F.col("c.point").alias("q"), F.col("c.node_root").alias("q_root"))
         pairs = mixed.join(chosen, "key").where("node_root <> q_root").select(F.col("point").alias("p"), "q")
         found = cut(groups.verify(cut(marks.candidates(pairs).join(tested.select("a", "b"), ["a", "b"], "left_anti"))))
         tested = tested.union(found)
