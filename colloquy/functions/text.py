@@ -137,6 +137,77 @@ def recovered(column: Column) -> Column:
     return items(column)
 
 
+def _is_todo(value: object) -> bool:
+    """An object with a description; other fields are texts or nothing, labels are texts."""
+    if not isinstance(value, dict) or not isinstance(value.get("description"), str):
+        return False
+    labels = value.get("labels", [])
+    return isinstance(labels, list) and all(isinstance(x, str) for x in labels) and all(isinstance(value.get(k), str | None) for k in ("title", "priority", "due_time"))
+
+
+def _todos(block: str, kinds: tuple[type, ...]) -> list[dict] | None:
+    """One item, the items of a todos field, or a list of items, of the kinds of JSON allowed; None if it is none of them."""
+    try:
+        value = json.loads(block)
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(value, kinds):
+        return None
+    if _is_todo(value):
+        return [value]
+    rows = value.get("todos") if isinstance(value, dict) else value
+    return rows if isinstance(rows, list) and all(map(_is_todo, rows)) else None
+
+
+def recover_todos(text: str | None) -> list[dict]:
+    """To-do items of a model's answer: the whole, else its first object, else its first list; none if nothing can be read.
+    Thoughts go first, also those that only close."""
+    text = re.sub(r"(?s)<think>.*?(</think>|$)", "", text or "")
+    text = text.split("</think>", 1)[-1].strip()
+    fence = re.fullmatch(r"(?s)```(?:json)?(.*)```", text)
+    text = fence[1].strip() if fence else text
+    tries = [(text, (dict, list)), *((b, (dict,)) for b in balanced_blocks(text)[:1]), *((b, (list,)) for b in balanced_blocks(text, "[", "]")[:1])]
+    return next((found for block, kinds in tries if (found := _todos(block, kinds)) is not None), [])
+
+
+def recover_translations(text: str | None) -> list[dict] | None:
+    """Translations (id, text) of a model's answer: of the last object that holds some, else the last list of them, so that an
+    example which the model repeats first does not count; None without any. Only what follows the last thought is read."""
+    text = (text or "").rsplit("</think>", 1)[-1].strip()
+    text = re.sub(r"^```(?:json)?\s*", "", text)
+    for opening, closing in ("{}", "[]"):
+        for block in reversed(balanced_blocks(text, opening, closing)):
+            try:
+                value = json.loads(block)
+            except (ValueError, RecursionError):
+                continue
+            rows = value.get("translations") if isinstance(value, dict) else value
+            if isinstance(rows, list) and all(isinstance(r, dict) and isinstance(r.get("id"), str) and isinstance(r.get("text"), str) for r in rows):
+                return [{"id": r["id"], "text": r["text"]} for r in rows]
+    return None
+
+
+def todos(column: Column) -> Column:
+    """The items of each answer (title, description, priority, due_time, labels)."""
+    names = ("title", "description", "priority", "due_time")
+
+    @F.pandas_udf("array<struct<title:string,description:string,priority:string,due_time:string,labels:array<string>>>")
+    def items(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{n: x.get(n) for n in names} | {"labels": x.get("labels", [])} for x in recover_todos(t)])
+
+    return items(column)
+
+
+def translations(column: Column) -> Column:
+    """The translations of each answer (id, text); null for an answer without any."""
+
+    @F.pandas_udf("array<struct<id:string,text:string>>")
+    def items(texts: pd.Series) -> pd.Series:
+        return texts.map(recover_translations)
+
+    return items(column)
+
+
 def latest_by(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key."""
     return rows.withColumn("__p", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("__p = 1").drop("__p")

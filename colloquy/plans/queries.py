@@ -103,7 +103,8 @@ def cluster_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ahc_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return clustering.cluster_clips(R.voices(spark, d).withColumnRenamed("speaker_id", "clip_id"), distance=0.75)
+    clip = F.concat_ws("-", "speaker_id", F.floor(F.col("id") / 1000).cast("string"))
+    return clustering.cluster_clips(R.voices(spark, d).withColumn("clip_id", clip), distance=0.75)
 
 
 def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
