@@ -82,6 +82,23 @@ def cluster_candidates(rows: DataFrame, by: str, threshold: float = 0.5) -> Data
     return _clustered(rows, by, ["start_ms", "id"], [False, True], lambda v: follow_leaders(v, threshold))
 
 
+def candidate_list(rows: DataFrame, by: str, threshold: float = 0.5, min_rows: int = 5, min_ms: int = 60_000, min_sessions: int = 2) -> DataFrame:
+    """Candidates for new speakers, one row for each cluster of leaders: by, candidate (named after its representative, the
+    longest segment, the latest on ties), member_ids, totals, and whether it is worth asking for.
+
+    rows: by, id, session_id, start_ms, end_ms, embedding; rows without a vector are left out.
+    """
+    usable = rows.where(F.size("embedding") > 0)
+    members = usable.drop("embedding").join(cluster_candidates(usable, by, threshold), [by, "id"])
+    length = F.col("end_ms") - F.col("start_ms")
+    found = members.groupBy(by, "cluster").agg(
+        F.min(F.struct((-length).alias("l"), (-F.col("start_ms")).alias("s"), "id"))["id"].alias("representative"), F.array_sort(F.collect_list("id")).alias("member_ids"),
+        F.count("*").alias("n_rows"), F.sum(length).alias("total_ms"), F.count_distinct("session_id").alias("n_sessions"), F.max("end_ms").alias("last_ms"),
+    )
+    worth = (F.col("n_rows") >= min_rows) & (F.col("total_ms") >= min_ms) & (F.col("n_sessions") >= min_sessions)
+    return found.drop("cluster").withColumns({"candidate": F.concat(F.lit("cand_"), F.col("representative").cast("string")), "eligible": worth})
+
+
 def name_in_order(centers: np.ndarray, sums: np.ndarray, keys: list[str], known: list[tuple[str, bool, np.ndarray]], confirm: float) -> list[str]:
     """The speaker of each cluster, in order: the most similar one, the smallest id on ties, if similar enough, else a new
     provisional one with the cluster's key as its id. known: id, whether provisional, and the sum of its vectors. What

@@ -71,12 +71,18 @@ def clip_speakers(spark: SparkSession, d: str) -> DataFrame:
     return clustering.assign_clips(clip_members(spark, d), known, CLIPS)
 
 
-QUERIES = {f.__name__: f for f in (todo_answers, translation_answers, translation_flush, translation_status, translation_cache, clip_speakers)}
+def speaker_candidates(spark: SparkSession, d: str) -> DataFrame:
+    rows = clip_members(spark, d).withColumns({"session_id": F.col("id") % 5, "scope": F.split_part("clip_id", F.lit("-"), F.lit(1))})
+    scope = F.concat_ws("-", "scope", F.floor(F.col("id") / 1000).cast("string"))
+    return clustering.candidate_list(rows.withColumn("scope", scope), "scope", 0.2, min_ms=20_000).withColumn("member_ids", F.array_join("member_ids", ","))
+
+
+QUERIES = {f.__name__: f for f in (todo_answers, translation_answers, translation_flush, translation_status, translation_cache, clip_speakers, speaker_candidates)}
 
 _PENDING = "pending AS (SELECT session_id, id, start_ms, text, CASE session_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'zh-CN' ELSE 'ja' END AS language, start_ms // 15000 % 3 AS attempts, row_number() OVER (PARTITION BY session_id ORDER BY start_ms, id) AS place FROM transcripts WHERE is_final)"
 _COUNTS = "counts AS (SELECT *, length(regexp_replace(text, '[^A-Za-zÀ-ɏ]', '', 'g')) AS latin, length(regexp_replace(text, '[^一-鿿㐀-䶿]', '', 'g')) AS cjk, length(regexp_replace(text, '[^぀-ヿ]', '', 'g')) AS kana FROM pending)"
 
-#: clip_speakers names clips in order, which SQL cannot state; tests hold it against a plain loop.
+#: clip_speakers and speaker_candidates go by the order of rows, which SQL cannot state; tests hold them against known cases.
 ORACLE_SQL = {
     "todo_answers": with_sql("transcripts", """SELECT id, CASE start_ms // 15000 % 6 WHEN 1 THEN 2 WHEN 4 THEN 0 ELSE 1 END AS n, CASE start_ms // 15000 % 6 WHEN 1 THEN text || '|' || text WHEN 4 THEN '' ELSE text END AS descriptions,
         CASE start_ms // 15000 % 6 WHEN 1 THEN id || '|' || id WHEN 4 THEN '' ELSE id END AS labels FROM transcripts"""),

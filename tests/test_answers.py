@@ -117,6 +117,17 @@ def test_speakers_of_clips(spark):
     assert clustering.assign_clips(members, known.limit(0)).count() == len(rows)
 
 
+def test_candidate_list(spark):
+    """Two voices in one scope; the longest segment names a candidate, the later one on a tie; rows without a vector go."""
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rows = [("x", 1, 1, 0, 30_000, a), ("x", 2, 1, 50_000, 80_000, a), ("x", 3, 2, 90_000, 95_000, a), ("x", 4, 2, 100_000, 101_000, b), ("x", 5, 2, 0, 99_000, None)]
+    kind = "scope string, id long, session_id long, start_ms long, end_ms long, embedding array<float>"
+    found = clustering.candidate_list(spark.createDataFrame(rows, kind), "scope", min_rows=3).collect()
+    got = sorted((r.candidate, r.member_ids, r.n_rows, r.total_ms, r.n_sessions, r.eligible) for r in found)
+    assert got == [("cand_2", [1, 2, 3], 3, 65_000, 2, True), ("cand_4", [4], 1, 1_000, 1, False)]
+    assert clustering.candidate_list(spark.createDataFrame([], kind), "scope").count() == 0
+
+
 def test_match_centroid_keeps_equal_ids(spark):
     """A query's id may be a speaker's too; ties go to the smaller speaker; other lengths match nothing."""
     asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0])], "id long, embedding array<double>")
