@@ -147,10 +147,11 @@ class PrefixEncoder:
     def encode(self, text: str) -> list[int]:
         if self.around_special is not None and any(s in text for s in self.special):
             pieces = self.around_special.split(text)
-            return list(chain.from_iterable([self.special[p]] if k % 2 else self._plain(p) for k, p in enumerate(pieces)))
-        return self._plain(text)
+            return list(chain.from_iterable([self.special[p]] if k % 2 else self.encode_plain(p) for k, p in enumerate(pieces)))
+        return self.encode_plain(text)
 
-    def _plain(self, text: str) -> list[int]:
+    def encode_plain(self, text: str) -> list[int]:
+        """As encode, but the special tokens' strings are ordinary text."""
         make = self._word
         return list(chain.from_iterable([self.known.get(w) or make(w) for w in self.words.findall(text)]))
 

@@ -214,7 +214,7 @@ def whole_shingles(tokens: list[np.ndarray], words: int) -> list[np.ndarray]:
     return [np.unique(a) for a in at]
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """a, b and linked for pairs (a, b), from the words of both texts (texts: node, text)."""
     left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text")) for c in "ab")
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text")
@@ -269,7 +269,7 @@ def _grouped(rows: DataFrame, like: Likeness) -> DataFrame:
         wanted = one.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
         match = wanted.select("node", F.col("id").alias("first_id"), "digest")
         texts = rows.join(match, "digest").where(F.col("id").eqNullSafe(F.col("first_id"))).select("node", "text").dropDuplicates(["node"])
-        return _verified(pairs, cut(texts), like)
+        return verified(pairs, cut(texts), like)
 
     groups = Groups(verify)
     link(entries, Marks(nodes.select(F.col("node").alias("point"), "node", *names), names, near), groups)
