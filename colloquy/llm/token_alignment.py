@@ -8,9 +8,10 @@ linked. The counts of linked id pairs over the whole corpus then go back to each
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,16 +19,36 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.bpe import encoder_at
+from colloquy.llm.bpe import byte_letters
 from colloquy.llm.common import collect_garbage, cut, quoted, slices, texts_of
 
 #: Different id pairs of documents, summed over a block's documents, at which the block is closed.
 BLOCK_PAIRS = 1 << 19
 
+#: Stretches of text that each of a worker's two generations of known ones holds, and the longest such stretch.
+CACHE_STRETCHES, CACHE_LENGTH = 150_000, 64
+
 _B_BITS = 32
 _FIELDS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
 
+class ByteTokens:
+    """Encoder of one byte-level vocabulary, with each token's bytes; special tokens' strings are plain text."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path)
+        self.model.no_truncation()
+        self.model.no_padding()
+        self.model.encode_special_tokens = True
+        letters = byte_letters()
+        self.bytes_of = {i: bytes(letters[c] for c in token) for token, i in self.model.get_vocab(with_added_tokens=False).items()}
+
+    def encode(self, text: str) -> list[int]:
+        return self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+
 class Pieces:
     """Encoder of one sentencepiece model, with each piece's bytes."""
 
@@ -43,34 +64,83 @@ class Pieces:
 
 
 @lru_cache(2)
-def pieces_at(path: str) -> Pieces:
-    return Pieces(path)
+def sides_at(byte_vocabulary: str, piece_model: str) -> tuple[ByteTokens, Pieces]:
+    return ByteTokens(byte_vocabulary), Pieces(piece_model)
 
 
 class Aligner:
-    """Both encoders, and what a text gives."""
+    """Both encoders, and what a text gives.
+
+    A space after a character that is no white space begins a token on both sides: no word of A's pattern
+    and, if the model's pieces allow it, no piece goes on over it. Texts are laid out in the stretches
+    between such places, and what a stretch gives is remembered.
+    """
 
     def __init__(self, byte_vocabulary: str, piece_model: str):
-        self.a, self.b = encoder_at(byte_vocabulary), pieces_at(piece_model)
+        self.a, self.b = sides_at(byte_vocabulary, piece_model)
         self.a_length = {i: len(x) for i, x in self.a.bytes_of.items()}
         self.b_length = [len(x) for x in self.b.bytes_of]
+        self.a_text = {i: str(i) for i in self.a.bytes_of}
         self.b_text = [f"|{i}" for i in range(len(self.b_length))]
-
-    def tokens(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids of both sides; none at all if a side's bytes are not those of the text. A's encoder
-        gives back every byte, so its length tells."""
-        if not text:
-            return [], []
-        whole = f" {text}".encode()
-        a, b = self.a.encode_plain(f" {text}"), self.b.encode(text)
-        same = b"".join(map(self.b.bytes_of.__getitem__, b)) == whole and sum(map(self.a_length.__getitem__, a)) == len(whole)
-        return (a, b) if same else ([], [])
-
-    def aligned(self, text: str) -> tuple[int, int, list[str], np.ndarray]:
-        """Numbers of tokens, the groups as text and the linked id pairs (a in the upper bits)."""
-        a, b = self.tokens(text)
-        groups, links = merged(a, b, [*accumulate(map(self.a_length.__getitem__, a))], [*accumulate(map(self.b_length.__getitem__, b))], self.a.text_of, self.b_text)
-        return len(a), len(b), groups, np.fromiter(links, dtype=np.int64, count=len(links))
+        apart = all(re.fullmatch("▁*[^▁]*", self.b.model.id_to_piece(i)) for i in range(len(self.b_length)))
+        self.stretches = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*" if apart else r"(?s).+")
+        self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
+
+    def _laid_out(self, stretches: list[str]) -> Iterator[tuple]:
+        """For each of some stretches, which follow one another: numbers of tokens and groups, the groups as text
+        and the linked id pairs (a in the upper bits), or _UNLIKE. A byte-level vocabulary gives back every
+        byte or leaves some out, so A's length tells."""
+        text = "".join(stretches)
+        whole = text.encode()
+        a, b = self.a.encode(text), self.b.encode(text[1:])
+        if b"".join(map(self.b.bytes_of.__getitem__, b)) != whole or sum(map(self.a_length.__getitem__, a)) != len(whole):
+            return chain.from_iterable(self._laid_out([s]) for s in stretches) if len(stretches) > 1 else iter([_UNLIKE])
+        a_ends, b_ends = [*accumulate(map(self.a_length.__getitem__, a))], [*accumulate(map(self.b_length.__getitem__, b))]
+        groups, links = merged(a, b, a_ends, b_ends, self.a_text, self.b_text)
+        if len(stretches) == 1:
+            return iter([(len(a), len(b), len(groups), ";".join(groups), links)])
+        return self._parts(stretches, a_ends, b_ends, groups, links)
+
+    @staticmethod
+    def _parts(stretches: list[str], a_ends: list[int], b_ends: list[int], groups: list[str], links: list[int]) -> Iterator[tuple]:
+        ends = np.cumsum([len(s.encode()) for s in stretches])
+        a, b = np.array(a_ends), np.array(b_ends)
+        at = [np.searchsorted(x, ends, side="right").tolist() for x in (a, b, a[np.isin(a, b, assume_unique=True)])]
+        i = j = k = 0
+        for p, q, r in zip(*at, strict=True):
+            yield p - i, q - j, r - k, ";".join(groups[k:r]), links[k:r]
+            i, j, k = p, q, r
+
+    def _missing(self, stretches: list[str], parts: list[tuple | None]) -> list[tuple]:
+        """parts with what was not known."""
+        fresh = {s: self.older.get(s) for s, p in zip(stretches, parts, strict=True) if p is None}
+        new = [s for s, p in fresh.items() if p is None]
+        for some in ([s for s in new if not s[-1].isspace()], *([s] for s in new if s[-1].isspace())):
+            if some:
+                fresh.update(zip(some, self._laid_out(some), strict=True))
+        if len(self.known) >= CACHE_STRETCHES:
+            self.known, self.older = {}, self.known
+        self.known.update((s, p) for s, p in fresh.items() if len(s) <= CACHE_LENGTH)
+        return [fresh[s] if p is None else p for s, p in zip(stretches, parts, strict=True)]
+
+    def aligned(self, text: str) -> tuple[int, int, int, str, np.ndarray]:
+        """Numbers of tokens of both sides and of groups, the groups as text and the linked id pairs; nothing
+        of an empty text and of one that a side does not give back."""
+        stretches = self.stretches.findall(f" {text}") if text else []
+        if len(stretches) > 1 and stretches[-1] == " ":  # no text of its own: the model is not asked for an empty one
+            stretches[-2:] = [f"{stretches[-2]} "]
+        parts = [*map(self.known.get, stretches)]
+        if None in parts:
+            parts = self._missing(stretches, parts)
+        if not parts or _UNLIKE in parts:
+            return 0, 0, 0, "", np.zeros(0, dtype=np.int64)
+        n_a, n_b, n_groups, groups, links = zip(*parts, strict=True)
+        return sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), np.fromiter(chain.from_iterable(links), dtype=np.int64)
+
+
+#: What a stretch gives whose bytes a side does not give back.
+_UNLIKE = (0, 0, 0, "", [])
 
 
 def merged(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int], a_text: dict[int, str], b_text: list[str]) -> tuple[list[str], list[int]]:
@@ -135,8 +205,7 @@ def _laid_out(docs: DataFrame, byte_vocabulary: str, piece_model: str, with_grou
         for batch in slices(batches, 32):
             kind = batch.schema.field(0).type
             for i, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                n_a, n_b, groups, pairs = aligner.aligned(text)
-                n_groups, groups = len(groups), ";".join(groups)
+                n_a, n_b, n_groups, groups, pairs = aligner.aligned(text)
                 digest = hashlib.sha256(groups.encode()).hexdigest() if groups else ""
                 block.add((i, n_a, n_b, n_groups, len(pairs), digest, groups if with_groups else None), pairs)
                 if block.held >= BLOCK_PAIRS:

@@ -11,7 +11,7 @@ from test_exact_results import SMALL, linked_groups
 from test_odd_rows import LONG, ROWS, SCHEMA, by_id
 from tokenizers import Tokenizer
 
-from colloquy.llm import queries, setsketch, source_audit, token_alignment
+from colloquy.llm import bpe, queries, setsketch, source_audit, token_alignment
 
 VOCABULARIES = queries.vocabulary_path(), queries.vocabulary_path("piece_bpe_32k.model")
 
@@ -158,7 +158,7 @@ def aligned(docs):
     library.encode_special_tokens = True
     library.no_truncation()
     library.no_padding()
-    raw = {i: bytes(token_alignment.encoder_at(VOCABULARIES[0]).bytes_of[i]) for i in library.get_vocab().values()}
+    raw = bpe.encoder_at(VOCABULARIES[0]).bytes_of
     made = {}
     for i, text in docs.items():
         a, b = library.encode(" " + (text or ""), add_special_tokens=False).ids, model.encode(text or "")
@@ -212,6 +212,17 @@ def test_alignment_hard_texts_and_blocks(spark, monkeypatch):
     assert rows[-1]["9"] == [2, 5, 9] and rows[-1]["10"] == [1, 2, 2]
 
 
+def test_stretches_give_what_whole_texts_give(texts):
+    aligner, rng = token_alignment.Aligner(*VOCABULARIES), np.random.default_rng(5)
+    signs = np.array(list(" \n\t  　\x1c\x85é▁aA1'.s!\u200d日ﬁ\u0301𝔘 "))
+    drawn = ["".join(rng.choice(signs, rng.integers(1, 25))) for _ in range(5000)]
+    for text in [*list(texts.values())[:60], *drawn, *drawn[:50], "a " * 300, "x </s> y"]:
+        if text:
+            *found, pairs = aligner.aligned(text)
+            *want, links = next(aligner._laid_out([f" {text}"]))
+            assert (found, list(pairs)) == (want, list(links))
+
+
 def test_alignment_odd_rows(spark, odd):
     found = token_alignment.align_documents(odd, *VOCABULARIES)
     rows = found.collect()
