@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The words of weekdays in the order in which they are looked for.
-WEEKDAYS = (("monday", 0), ("mon", 0), ("tuesday", 1), ("tues", 1), ("tue", 1), ("wednesday", 2), ("wed", 2), ("thursday", 3), ("thurs", 3), ("thu", 3), ("friday", 4), ("fri", 4), ("saturday", 5), ("sat", 5), ("sunday", 6), ("sun", 6))
-WHOLE_NAMES = frozenset("monday tuesday tues wednesday thursday thurs friday saturday sunday".split())
+#: What names a weekday, in the order in which they are tried; 0 is Monday.
+WEEKDAYS = (
+    ("monday", 0), ("mon ", 0), ("mon,", 0), ("tuesday", 1), ("tues", 1), ("tue ", 1), ("wednesday", 2), ("wed ", 2), ("wed,", 2), ("thursday", 3), ("thurs", 3), ("thu ", 3),
+    ("friday", 4), ("fri ", 4), ("fri,", 4), ("saturday", 5), ("sat ", 5), ("sat,", 5), ("sunday", 6), ("sun ", 6), ("sun,", 6),
+)
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 PARTS_OF_DAY = (("noon", 12), ("midnight", 0), ("morning", 9), ("afternoon", 14))
 CHINESE_DAYS = (("大后天", 3), ("后天", 2), ("明天", 1), ("今天", 0), ("今晚", 0))
@@ -51,10 +53,7 @@ def _absolute(text: str, today: date) -> date | None:
 
 
 def _weekday(text: str) -> int | None:
-    for name, number in WEEKDAYS:
-        if name in WHOLE_NAMES and name in text or name not in WHOLE_NAMES and re.search(name + r"[ ,]", text + " "):
-            return number
-    return None
+    return next((number for name, number in WEEKDAYS if name in text + " "), None)
 
 
 def _named_day(text: str, lower: str, today: date) -> date | None:

@@ -25,6 +25,10 @@ class ItemExtractor(Protocol):
     def __call__(self, lines: DataFrame) -> DataFrame: ...
 
 
+#: Formats of a due time with a time of day.
+DUE_FORMATS = ("yyyy-M-d'T'H:m", "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m", "yyyy-M-d H:m:s", "M/d/yyyy H:m")
+
+
 def items_of_long_lines(lines: DataFrame) -> DataFrame:
     """The default provider, by rule: each line of more than 200 characters is an item that quotes its first 24."""
     n = F.length("text")
@@ -62,11 +66,13 @@ def normalised(items: DataFrame) -> DataFrame:
 
 
 def due_text(column: Column) -> Column:
-    """A due time in one of the known formats as it is, a date alone at nine; else null."""
+    """A due time in one of the known formats as it is, a date alone at nine; else null. Months, days, hours and
+    minutes may have one digit; a date with slashes alone is written anew."""
     t = F.when(~column.isin(*NO_VALUE), F.trim(column))
-    whole = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy HH:mm")])
-    day = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in ("yyyy-MM-dd", "MM/dd/yyyy")])
-    return F.when(whole.isNotNull(), t).when(day.isNotNull(), F.date_format(day, "yyyy-MM-dd'T'09:00"))
+    read = lambda f: F.try_to_timestamp(t, F.lit(f))
+    whole = F.coalesce(*map(read, DUE_FORMATS))
+    slashes = F.date_format(read("M/d/yyyy"), "yyyy-MM-dd'T'09:00")
+    return F.when(whole.isNotNull(), t).when(read("yyyy-M-d").isNotNull(), F.concat(t, F.lit("T09:00"))).otherwise(slashes)
 
 
 def usable(items: DataFrame) -> DataFrame:

@@ -8,8 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labels that a tenant starts with.
-FIRST_LABELS = ("Work", "Urgent", "Personal", "Health", "Finance", "Ideas")
+#: Labels that a tenant starts with, each with the colours of its text and its ground.
+FIRST_LABELS = (
+    ("Work", "#1d4ed8", "#dbeafe"),
+    ("Personal", "#6d28d9", "#ede9fe"),
+    ("Urgent", "#b91c1c", "#fee2e2"),
+    ("Idea", "#a16207", "#fef3c7"),
+    ("Follow-up", "#15803d", "#dcfce7"),
+    ("Meeting", "#0e7490", "#cffafe"),
+)
 
 
 def page(rows: DataFrame, order: list[Column], limit: int, most: int, offset: int = 0, least: int = 0) -> DataFrame:
@@ -129,10 +136,10 @@ def replace_all(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def seed_labels(labels: DataFrame, tenants: DataFrame) -> DataFrame:
-    """labels with the first ones for every tenant that has none at all."""
+    """labels (tenant_id, name, color, bg_color) with the first ones for every tenant that has none at all."""
     bare = tenants.select("tenant_id").distinct().join(labels.select("tenant_id"), "tenant_id", "left_anti")
-    first = bare.select("tenant_id", F.explode(F.array(*map(F.lit, FIRST_LABELS))).alias("name"))
-    return labels.select("tenant_id", "name").unionByName(first)
+    first = [F.struct(*[F.lit(v).alias(c) for c, v in zip(("name", "color", "bg_color"), row, strict=True)]) for row in FIRST_LABELS]
+    return labels.select("tenant_id", "name", "color", "bg_color").unionByName(bare.select("tenant_id", F.inline(F.array(*first))))
 
 
 def add_finals(lines: DataFrame, segments: DataFrame) -> DataFrame:

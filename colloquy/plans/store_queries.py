@@ -131,7 +131,8 @@ def labels_per_tenant(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seed_labels(spark: SparkSession, d: str) -> DataFrame:
-    return store.seed_labels(R.named_labels(spark, d).where("tenant_id <> 'src1'"), R.sessions(spark, d).select("tenant_id"))
+    kept = R.named_labels(spark, d).where("tenant_id <> 'src1'").withColumns({"color": F.lit("#111111"), "bg_color": F.lit("#eeeeee")})
+    return store.seed_labels(kept, R.sessions(spark, d).select("tenant_id"))
 
 
 def matching_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -231,8 +232,9 @@ def normalised_items(spark: SparkSession, d: str) -> DataFrame:
 def due_formats(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/orders.parquet")
     day = F.col("o_orderdate")
-    k = F.col("o_orderkey") % 6
-    said = F.when(k == 0, F.date_format(day, "yyyy-MM-dd'T'HH:mm")).when(k == 1, F.date_format(day, " yyyy-MM-dd HH:mm:ss")).when(k == 2, F.date_format(day, "MM/dd/yyyy")).when(k == 3, F.date_format(day, "yyyy-MM-dd")).when(k == 4, "None").otherwise("next week")
+    k = F.col("o_orderkey") % 9
+    said = F.when(k == 0, F.date_format(day, "yyyy-MM-dd'T'HH:mm")).when(k == 1, F.date_format(day, " yyyy-MM-dd HH:mm:ss")).when(k == 2, F.date_format(day, "MM/dd/yyyy")).when(k == 3, F.date_format(day, "yyyy-MM-dd")).when(k == 4, "None").when(k == 5, "next week")
+    said = said.when(k == 6, F.date_format(day, "M/d/yyyy")).when(k == 7, F.date_format(day, "yyyy-M-d")).otherwise(F.concat(F.date_format(day, "M/d/yyyy"), F.lit(" 9:05")))
     return rows.select("o_orderkey", extraction.due_text(said).alias("due"))
 
 
@@ -324,8 +326,9 @@ ORACLE_SQL = {
     "rollback_vectors": with_sql("voices", "SELECT id, speaker_id FROM voices WHERE id % 4 <> 1"),
     "label_list": with_sql("named_labels", "SELECT id, name FROM named_labels WHERE tenant_id = 'src2' ORDER BY name"),
     "labels_per_tenant": with_sql("named_labels", "SELECT tenant_id, count(*) AS n_labels FROM named_labels GROUP BY tenant_id"),
-    "seed_labels": with_sql("named_labels sessions", """, kept AS (SELECT tenant_id, name FROM named_labels WHERE tenant_id <> 'src1')
-        SELECT * FROM kept UNION ALL SELECT tenant_id, unnest(['Work', 'Urgent', 'Personal', 'Health', 'Finance', 'Ideas']) FROM (SELECT DISTINCT tenant_id FROM sessions WHERE tenant_id NOT IN (SELECT tenant_id FROM kept))"""),
+    "seed_labels": with_sql("named_labels sessions", """, kept AS (SELECT tenant_id, name, '#111111' AS color, '#eeeeee' AS bg_color FROM named_labels WHERE tenant_id <> 'src1'),
+        first(name, color, bg_color) AS (VALUES ('Work', '#1d4ed8', '#dbeafe'), ('Personal', '#6d28d9', '#ede9fe'), ('Urgent', '#b91c1c', '#fee2e2'), ('Idea', '#a16207', '#fef3c7'), ('Follow-up', '#15803d', '#dcfce7'), ('Meeting', '#0e7490', '#cffafe'))
+        SELECT * FROM kept UNION ALL SELECT tenant_id, first.* FROM (SELECT DISTINCT tenant_id FROM sessions WHERE tenant_id NOT IN (SELECT tenant_id FROM kept)), first"""),
     "matching_labels": with_sql("people named_labels", """, l AS (SELECT max(CASE WHEN lower(name) = 'france' THEN CAST(id AS VARCHAR) END) AS f, max(CASE WHEN lower(name) = 'peru' THEN CAST(id AS VARCHAR) END) AS p, max(CASE WHEN lower(name) = 'china' THEN CAST(id AS VARCHAR) END) AS c FROM named_labels)
         SELECT id, array_to_string(list_sort(list_filter([c, CASE id % 3 WHEN 0 THEN f WHEN 1 THEN p END], lambda x: x IS NOT NULL)), ',') AS label_ids FROM people, l"""),
     "replace_label_links": with_sql("reminders reminder_labels", """SELECT * FROM reminder_labels WHERE reminder_id % 5 <> 0
@@ -356,8 +359,9 @@ ORACLE_SQL = {
     "window_states": with_sql("transcripts segments speakers", f", {_OVERLAPS}, {_LINES}, {_LATEST}, {_INSIDE} SELECT w.session_id, w.window_start AS start_ms, CASE WHEN EXISTS (SELECT 1 FROM inside i WHERE i.session_id = w.session_id AND i.window_start = w.window_start) THEN 'succeeded' ELSE 'empty' END AS status FROM windows w"),
     "normalised_items": with_sql("transcripts", f""", rows AS (SELECT session_id, 0 AS window_start, id, text FROM transcripts WHERE length(text) > 200)
         SELECT item_id, title, word AS priority, due_time, 'BOB' AS labels, word AS confidence, quote AS evidence_quote, 'Bob' AS speaker_name FROM ({_ITEMS} FROM rows)"""),
-    "due_formats": """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')
-        WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%dT09:00') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%dT09:00') END AS due FROM orders""",
+    "due_formats": """SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')
+        WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%dT09:00') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%dT09:00')
+        WHEN 6 THEN strftime(o_orderdate, '%Y-%m-%dT09:00') WHEN 7 THEN strftime(o_orderdate, '%Y-%-m-%-dT09:00') WHEN 8 THEN strftime(o_orderdate, '%-m/%-d/%Y') || ' 9:05' END AS due FROM orders""",
     "short_times": """, t AS (SELECT event_id, date_trunc('second', ts) AS t0, epoch_us(ts) // 1000000 AS s FROM events), u AS (SELECT *, CAST(floor((s - 1705329000) / 60.0 + 0.5) AS BIGINT) AS m, date_diff('day', DATE '2024-01-15', CAST(t0 AS DATE)) AS days, strftime(t0, '%-I:%M %p') AS clock, strftime(t0, '%A') AS weekday, strftime(t0, '%b %-d') AS day FROM t)
         SELECT event_id, CASE WHEN m < 0 THEN CASE WHEN days = 0 THEN clock WHEN days >= -6 THEN 'Due ' || weekday ELSE 'Due ' || day END WHEN m < 60 THEN 'In ' || m || ' min' WHEN days = 0 THEN clock || ' today'
             WHEN days = 1 THEN 'Tomorrow at ' || clock WHEN days <= 6 THEN weekday || ' at ' || clock ELSE day END AS short, strftime(t0, '%Y-%m-%dT%H:%M:%S.000Z') AS iso, strftime(t0, '%Y-%m-%d %H:%M:%S') AS plain FROM u""".replace(", t AS", "WITH t AS", 1),
