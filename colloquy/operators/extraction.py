@@ -99,16 +99,27 @@ def process_windows(windows: DataFrame, lines: DataFrame, starts: DataFrame, lab
     lines: attributed lines; starts: session_id, started_ms; labels: id, name; stored: session_id, description. Windows
     with too little speech are empty, all others succeeded. Of equal descriptions in a session the first counts.
     """
+    heard = heard_lines(windows, lines, settings)
+    made = reminders_of(extract(heard), heard, starts, labels)
+    spoken = heard.select("session_id", F.col("window_start").alias("start_ms"), F.lit("succeeded").alias("s")).distinct()
+    after = windows.join(spoken, ["session_id", "start_ms"], "left")
+    return state.insert_new(stored, made), after.select("session_id", "start_ms", F.coalesce("s", F.lit("empty")).alias("status"))
+
+
+def heard_lines(windows: DataFrame, lines: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """The lines of windows in which enough is said."""
     inside = intervals.window_lines(windows, lines)
     spoken = inside.groupBy("session_id", "window_start").agg(F.sum(F.octet_length("text")).alias("n_bytes")).where(F.col("n_bytes") >= settings.min_window_bytes)
-    heard = inside.join(spoken.select("session_id", "window_start"), ["session_id", "window_start"], "left_semi")
-    items = speakers_of_items(usable(normalised(extract(heard))), heard).join(starts, "session_id", "left")
+    return inside.join(spoken.select("session_id", "window_start"), ["session_id", "window_start"], "left_semi")
+
+
+def reminders_of(found: DataFrame, heard: DataFrame, starts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Reminders of a provider's items, with the speaker and time of the line that they quote and the ids of their labels."""
+    items = speakers_of_items(usable(normalised(found)), heard).join(starts, "session_id", "left")
     known = labels.select(F.col("id").alias("label_id"), F.lower("name").alias("low"))
     names = items.select("item_id", F.explode("labels").alias("l")).join(known, F.lower("l") == F.col("low")).groupBy("item_id").agg(F.array_sort(F.collect_set("label_id")).alias("label_ids"))
-    made = items.join(names, "item_id", "left").select(
+    return items.join(names, "item_id", "left").select(
         F.col("item_id").alias("id"), "session_id", "window_start", "title", "description", "priority", "status", "speaker_id",
         (F.col("started_ms") + F.coalesce("origin_ms", "window_start")).alias("source_ms"), text.excerpt(F.col("evidence_quote")).alias("excerpt"),
         "due_time", F.coalesce("label_ids", F.array().cast(f"array<{dict(labels.dtypes)['id']}>")).alias("label_ids"),
     )
-    after = windows.join(spoken.select("session_id", F.col("window_start").alias("start_ms"), F.lit("succeeded").alias("s")), ["session_id", "start_ms"], "left")
-    return state.insert_new(stored, made), after.select("session_id", "start_ms", F.coalesce("s", F.lit("empty")).alias("status"))
