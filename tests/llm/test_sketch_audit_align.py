@@ -55,6 +55,22 @@ def test_registers_merge_and_do_not_depend_on_order():
     assert not setsketch.registers(np.zeros(0, dtype=np.uint64)).any()
 
 
+def test_short_forms_spare_links_and_rule_out_others():
+    def unequal(share, n=600):
+        out, both = [], round(2 * n * share / (1 + share))
+        for _, s in sets_of([(1, 2 * n - both - 1)], 200, seed=8):
+            x, y = (setsketch.short_form(setsketch.registers(part)).view(np.uint64) for part in (s[:n], s[n - both :]))
+            bits = x ^ y
+            out.append(int(np.bitwise_count((bits | bits >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum()))
+        return np.array(out)
+
+    for share in (0.8, 0.9):
+        found = unequal(share)
+        assert (found <= setsketch.MOST_UNEQUAL).all()
+        assert abs(found.mean() - setsketch.REGISTERS * 0.75 * (1 - share)) < 1.5
+    assert (unequal(0.4) > setsketch.MOST_UNEQUAL).all()
+
+
 def test_likelihood_estimates_and_spares_links():
     for share in (0.2, 0.5, 0.8, 0.95):
         rng, found, kept = np.random.default_rng(3), [], []
