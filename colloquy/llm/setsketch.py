@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.bucket_links import Groups, Marks, link
 from colloquy.llm.common import cut, mix64, quoted, slices, spare
+from colloquy.llm.ngram_join import SKETCH as PARITY_WORDS
 from colloquy.llm.ngram_join import Likeness, _Codes, fingerprints, shingles, verified
+from colloquy.llm.ngram_join import sketch as parities
 
 #: Registers (a prime, so that any step visits all of them) and how many make a band. Two sets at the limit
 #: of 0.8 miss all 42 bands with a chance of (1 - 0.8**5)**42 = 6e-8.
@@ -136,7 +138,7 @@ def _prepared(rows: DataFrame, like: Likeness, seed: int) -> DataFrame:
             number += len(sets)
             marks = [fingerprints(s) if len(s) else (None, None) for s in sets]
             sketches = [registers(s) for s in sets]
-            short = np.array([short_form(x) for x in sketches]).reshape(-1, SHORT_WORDS)
+            short = np.array([[*short_form(x), *parities(s)] for x, s in zip(sketches, sets, strict=True)], dtype=np.int64).reshape(-1, SHORT_WORDS + PARITY_WORDS)
             columns = [batch.column(0), batch.column(1), pa.array(row), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array([x.tobytes() for x in sketches], pa.binary())]
             yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, short.T.copy())], names=["id", "digest", "row", "n", "node", "check", "sketch", *shorts])
 
@@ -144,7 +146,8 @@ def _prepared(rows: DataFrame, like: Likeness, seed: int) -> DataFrame:
 
 
 def _shorts() -> list[str]:
-    return [f"s{k}" for k in range(SHORT_WORDS)]
+    """Columns of the short form and, after them, of the set's parities (see ngram_join.sketch)."""
+    return [f"s{k}" for k in range(SHORT_WORDS + PARITY_WORDS)]
 
 
 def _entries(nodes: DataFrame) -> DataFrame:
@@ -220,15 +223,16 @@ def _grouped(rows: DataFrame, like: Likeness) -> DataFrame:
 
 
 def _near(percent: int) -> Callable[[list[str], list[str]], Column]:
-    """What sizes and short forms of two linked sets fulfil."""
+    """What sizes, short forms and parities of two linked sets fulfil. Sets of n and m elements that differ in d have
+    n + m + d in union and n + m - d in intersection, both twice; parities differ in d places at most."""
 
     def near(here: list[str], there: list[str]) -> Column:
         n, m = F.col(here[0]), F.col(there[0])
-        unequal = F.lit(0)
-        for a, b in zip(here[1:], there[1:], strict=True):
-            bits = F.col(a).bitwiseXOR(F.col(b))
-            unequal = unequal + F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (unequal <= MOST_UNEQUAL)
+        bits = [F.col(a).bitwiseXOR(F.col(b)) for a, b in zip(here[1:], there[1:], strict=True)]
+        unequal = sum((F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))) for x in bits[:SHORT_WORDS]), F.lit(0))
+        differ = sum((F.bit_count(x) for x in bits[SHORT_WORDS:]), F.lit(0)).cast("long")
+        few = differ * (100 + percent) <= (n + m) * (100 - percent)
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & few & (unequal <= MOST_UNEQUAL)
 
     return near
 
