@@ -78,6 +78,11 @@ def looks_like(column: Column, language: str) -> Column:
     return (total >= 3) & fits.get(language, latin >= 0.7 * total)
 
 
+def ascii_lower(column: Column) -> Column:
+    """A to Z in lower case; all other letters stay as they are, so that only ASCII is compared without regard to case."""
+    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def first_quoted_line(items: DataFrame, lines: DataFrame) -> DataFrame:
     """(item_id, line_id): the first line of the item's session that contains the item's quote,
     without regard to case; null without one."""

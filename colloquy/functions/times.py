@@ -21,6 +21,27 @@ def due_utc(column: Column, zone: str, formats: tuple[str, ...] = ("yyyy-MM-dd'T
     return F.date_format(F.to_utc_timestamp(local, zone), "yyyy-MM-dd HH:mm:ss")
 
 
+def single_utc(local: Column, zone: str) -> Column:
+    """The one instant at which clocks of a zone show a local time, in UTC; null if there are none or two, as when clocks are
+    changed. The offsets of a day before and a day after are tried, each kept if it leads back to the local time."""
+    near = F.to_utc_timestamp(local, zone)
+    day = F.expr("INTERVAL 1 DAY")
+    offset = lambda at: F.from_utc_timestamp(at, zone) - at
+    tries = [local - offset(near - day), local - offset(near + day)]
+    fits = F.array_distinct(F.array_compact(F.array(*[F.when(F.from_utc_timestamp(t, zone) == local, t) for t in tries])))
+    return F.when(F.size(fits) == 1, F.get(fits, 0))
+
+
+#: The forms of due times that a reminder asked for at once may have.
+ASKED_FORMATS = ("y-M-d'T'H:m", "y-M-d'T'H:m:s", "y-M-d H:m")
+
+
+def asked_due(column: Column, zone: str) -> Column:
+    """A local due time in UTC; null if no form reads it, or if the zone's clocks show it twice or never."""
+    local = F.coalesce(*[F.try_to_timestamp(column, F.lit(f)) for f in ASKED_FORMATS])
+    return F.date_format(single_utc(local, zone), "yyyy-MM-dd HH:mm:ss")
+
+
 def short(at: Column, now: Column) -> Column:
     """A due time as one reads it at a glance, by calendar days from now (both are seconds of the epoch, in UTC)."""
     t, minutes = F.timestamp_seconds(at), F.floor((at - now) / 60 + 0.5)

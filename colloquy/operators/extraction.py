@@ -83,11 +83,12 @@ def usable(items: DataFrame) -> DataFrame:
 
 def speakers_of_items(items: DataFrame, lines: DataFrame) -> DataFrame:
     """items with the speaker and start of the first line of their window that holds the quote, without regard to case;
-    without one, with the speaker of the first line under the item's speaker name."""
+    without one, with the speaker of the first line under the item's speaker name,
+    in which only ASCII letters are alike in both cases."""
     place = ["session_id", "window_start"]
-    here = lines.select(*place, F.struct("start_ms", "id", "speaker_id").alias("line"), F.lower("text").alias("line_text"), F.lower("speaker_name").alias("line_name"))
+    here = lines.select(*place, F.struct("start_ms", "id", "speaker_id").alias("line"), F.lower("text").alias("line_text"), text.ascii_lower(F.col("speaker_name")).alias("line_name"))
     quoted = items.select("item_id", *place, F.lower("evidence_quote").alias("quote")).join(here, place).where(F.col("line_text").contains(F.col("quote"))).groupBy("item_id").agg(F.min("line").alias("by_quote"))
-    name = items.where("lower(speaker_name) <> 'unknown'").select("item_id", *place, F.lower("speaker_name").alias("line_name"))
+    name = items.withColumn("line_name", text.ascii_lower(F.col("speaker_name"))).where("line_name <> 'unknown'").select("item_id", *place, "line_name")
     named = name.join(here, [*place, "line_name"]).groupBy("item_id").agg(F.min("line").alias("by_name"))
     found = items.join(quoted, "item_id", "left").join(named, "item_id", "left")
     return found.withColumn("speaker_id", F.coalesce("by_quote.speaker_id", "by_name.speaker_id")).withColumn("origin_ms", F.col("by_quote.start_ms")).drop("by_quote", "by_name")

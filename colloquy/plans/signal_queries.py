@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.functions import repair, signal
+from colloquy.functions import repair, signal, times
 from colloquy.operators import candidates, levels
 from colloquy.sources import audio
 from colloquy.sources import relations as R
@@ -90,7 +90,16 @@ def confirmed_segments(spark: SparkSession, d: str) -> DataFrame:
     return candidates.store.assign_segments(segments, given).select("id", "speaker_id", "audio_ref")
 
 
-QUERIES = {f.__name__: f for f in (repaired_answers, json_kinds, wav_decode, session_levels, level_reports, confirm_requests, confirmed_segments)}
+def asked_due(spark: SparkSession, d: str) -> DataFrame:
+    """Local times around the nights when the clocks of New York change."""
+    i = F.col("event_id")
+    base = F.when(i % 2 == 0, F.lit("2024-03-09 12:00:00")).otherwise("2024-11-02 12:00:00").cast("timestamp")
+    local = F.timestamp_seconds(F.unix_timestamp(base) + i * 7 % 2880 * 60)
+    texts = [F.date_format(local, f) for f in ("yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "y-M-d H:m", "dd.MM.yyyy")]
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", times.asked_due(F.element_at(F.array(*texts), (i % 4 + 1).cast("int")), "America/New_York").alias("due"))
+
+
+QUERIES = {f.__name__: f for f in (repaired_answers, json_kinds, wav_decode, session_levels, level_reports, confirm_requests, confirmed_segments, asked_due)}
 
 _LEVELS = f"""WITH RECURSIVE voices AS ({SQL["voices"]}), chunks AS (SELECT speaker_id % 3 AS session_id, id * 9 + id % 4 AS at_ms, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) / len(embedding)) AS rms FROM voices WHERE id % 17 <> 0),
     n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY at_ms) AS k FROM chunks),
@@ -116,6 +125,9 @@ ORACLE_SQL = {
             ELSE list_transform(range(2 * len(mono)), lambda k: (mono[k // 2 + 1] + mono[least((k + 1) // 2 + 1, len(mono))]) / 2) END AS samples FROM m)
         SELECT id, CASE WHEN id % 13 <> 0 THEN CAST(len(samples) AS INTEGER) END AS n, CASE WHEN id % 13 <> 0 THEN len(samples) / 16000.0 * 1000 END AS duration_ms, CASE WHEN id % 13 <> 0 THEN round(list_sum(samples), 3) END AS total,
             CASE WHEN rate = 16000 AND channels = 1 THEN CAST(CASE WHEN id % 13 = 0 THEN 56 // (bits // 8) ELSE len(samples) END AS INTEGER) END AS n_strict FROM r"""),
+    "asked_due": """WITH l AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN TIMESTAMP '2024-03-09 12:00:00' ELSE TIMESTAMP '2024-11-02 12:00:00' END + to_minutes(event_id * 7 % 2880) AS t FROM events)
+        SELECT event_id, CASE WHEN event_id % 4 = 3 OR t >= '2024-03-10 02:00:00'::TIMESTAMP AND t < '2024-03-10 03:00:00'::TIMESTAMP OR t >= '2024-11-03 01:00:00'::TIMESTAMP AND t < '2024-11-03 02:00:00'::TIMESTAMP THEN NULL
+            ELSE strftime(t + to_hours(CASE WHEN t >= '2024-03-10 03:00:00'::TIMESTAMP AND t < '2024-11-03 01:00:00'::TIMESTAMP THEN 4 ELSE 5 END), '%Y-%m-%d %H:%M:%S') END AS due FROM l""",
     "session_levels": _LEVELS,
     "level_reports": _LEVELS + " WHERE sent",
     "confirm_requests": _CONFIRMING + """, sums AS (SELECT request_id AS id, count(*) AS n_members, count(*) FILTER (place <= 3 AND has_vector) AS n_vectors, count(*) FILTER (assigned) AS n_assigned,

@@ -9,13 +9,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from colloquy.functions import repair
-from colloquy.operators import candidates, levels
+from colloquy.functions import repair, text, times
+from colloquy.operators import candidates, extraction, levels
 from colloquy.sources import audio
 
 
 @pytest.mark.parametrize(
-    "text, value",
+    "answer, value",
     [
         ('{"a": 1, "b": [1,2', {"a": 1, "b": [1, 2]}),
         ("{'a': 'b', 'c': None, 'd': True}", {"a": "b", "c": None, "d": True}),
@@ -39,13 +39,13 @@ from colloquy.sources import audio
         ("{}", {}),
     ],
 )
-def test_repaired(text, value):
-    assert json.loads(repair.repaired_text(text)) == value
+def test_repaired(answer, value):
+    assert json.loads(repair.repaired_text(answer)) == value
 
 
-@pytest.mark.parametrize("text", ["totally not json at all", "", None, "}]"])
-def test_nothing_to_repair(text):
-    assert repair.repaired_text(text) is None
+@pytest.mark.parametrize("answer", ["totally not json at all", "", None, "}]"])
+def test_nothing_to_repair(answer):
+    assert repair.repaired_text(answer) is None
 
 
 def test_depth_is_not_limited():
@@ -198,3 +198,34 @@ def test_kinds_of_json(spark):
     texts = ['{"a": 1}', "[]", '"x"', "1", "1.5", "true", "null", "no", "", None]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", repair.kind(F.col("t")).alias("kind"))
     assert [r.kind for r in rows.orderBy("k").collect()] == ["object", "array", "string", "number", "number", "boolean", "null", None, None, None]
+
+
+DUES = [
+    ("America/New_York", "2024-03-10T02:30", None),  # never
+    ("America/New_York", "2024-11-03T01:30:00", None),  # twice
+    ("America/New_York", "2024-3-10 3:00", "2024-03-10 07:00:00"),
+    ("America/New_York", "2024-11-03 02:00", "2024-11-03 07:00:00"),
+    ("America/New_York", "2024-11-03 00:59", "2024-11-03 04:59:00"),
+    ("Australia/Lord_Howe", "2024-04-07T01:45", None),  # half an hour, twice
+    ("Australia/Lord_Howe", "2024-10-06T02:15", None),
+    ("Australia/Lord_Howe", "2024-10-06T02:30", "2024-10-05 15:30:00"),
+    ("UTC", "2024-01-02T3:04", "2024-01-02 03:04:00"),
+    ("UTC", "02.01.2024", None),
+    ("UTC", "2024-01-02 03:04:05", None),
+    ("UTC", None, None),
+]
+
+
+@pytest.mark.parametrize("zone", sorted({d[0] for d in DUES}))
+def test_due_times_that_are_clear(spark, zone):
+    mine = [(k, t, w) for k, (z, t, w) in enumerate(DUES) if z == zone]
+    rows = spark.createDataFrame([m[:2] for m in mine], "k int, t string").select("k", times.asked_due(F.col("t"), zone).alias("due"))
+    assert {r.k: r.due for r in rows.collect()} == {k: w for k, _, w in mine}
+
+
+def test_names_are_compared_by_ascii_case(spark):
+    rows = spark.createDataFrame([("ABZÄß",), (None,)], "t string").select(text.ascii_lower(F.col("t")))
+    assert [r[0] for r in rows.collect()] == ["abzÄß", None]
+    lines = spark.createDataFrame([(1, 0, 5, "l1", "s1", "x", "ÄNNE"), (1, 0, 6, "l2", "s2", "y", "Bob")], "session_id int, window_start int, start_ms int, id string, speaker_id string, text string, speaker_name string")
+    items = spark.createDataFrame([("i1", 1, 0, "none of it", "änne"), ("i2", 1, 0, "none of it", "BOB"), ("i3", 1, 0, "none of it", "Ännе"), ("i4", 1, 0, "none of it", "UNKNOWN")], "item_id string, session_id int, window_start int, evidence_quote string, speaker_name string")
+    assert {r.item_id: r.speaker_id for r in extraction.speakers_of_items(items, lines).collect()} == {"i1": None, "i2": "s2", "i3": None, "i4": None}
