@@ -1,137 +1,169 @@
-"""Times that are named relative to now, in English and partly in Chinese."""
+"""Times that a text names relative to now, in English and partly in Chinese: rules as data, compiled to Column expressions."""
 
 from __future__ import annotations
 
-import re
-from datetime import date, datetime, time, timedelta
+from collections.abc import Callable
+from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What names a weekday, in the order in which they are tried; 0 is Monday.
+#: What names a weekday, in the order in which they are tried.
 WEEKDAYS = (
-    ("monday", 0), ("mon ", 0), ("mon,", 0), ("tuesday", 1), ("tues", 1), ("tue ", 1), ("wednesday", 2), ("wed ", 2), ("wed,", 2), ("thursday", 3), ("thurs", 3), ("thu ", 3),
-    ("friday", 4), ("fri ", 4), ("fri,", 4), ("saturday", 5), ("sat ", 5), ("sat,", 5), ("sunday", 6), ("sun ", 6), ("sun,", 6),
+    ("monday", "Mon"), ("mon ", "Mon"), ("mon,", "Mon"), ("tuesday", "Tue"), ("tues", "Tue"), ("tue ", "Tue"), ("wednesday", "Wed"), ("wed ", "Wed"), ("wed,", "Wed"),
+    ("thursday", "Thu"), ("thurs", "Thu"), ("thu ", "Thu"), ("friday", "Fri"), ("fri ", "Fri"), ("fri,", "Fri"), ("saturday", "Sat"), ("sat ", "Sat"), ("sat,", "Sat"),
+    ("sunday", "Sun"), ("sun ", "Sun"), ("sun,", "Sun"),
 )
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-PARTS_OF_DAY = (("noon", 12), ("midnight", 0), ("morning", 9), ("afternoon", 14))
+#: Month names in the order in which they are tried.
+MONTHS = (
+    ("january", 1), ("february", 2), ("march", 3), ("april", 4), ("may", 5), ("june", 6), ("july", 7), ("august", 8), ("september", 9), ("october", 10), ("november", 11),
+    ("december", 12), ("jan", 1), ("feb", 2), ("mar", 3), ("apr", 4), ("jun", 6), ("jul", 7), ("aug", 8), ("sep", 9), ("oct", 10), ("nov", 11), ("dec", 12),
+)
+#: Phrases for a day, the first that fits counts, and the day that each means.
+DAY_PHRASES: tuple[tuple[tuple[str, ...], Callable[[Column], Column]], ...] = (
+    (("day after tomorrow",), lambda today: F.date_add(today, 2)),
+    (("tomorrow",), lambda today: F.date_add(today, 1)),
+    (("tonight", "today", "this evening"), lambda today: today),
+    (("this weekend",), lambda today: F.next_day(today, "Sat")),
+    (("next week",), lambda today: F.date_add(F.next_day(today, "Mon"), 7)),
+    (("next month",), lambda today: F.date_add(F.last_day(today), 1)),
+    (("end of month", "eom"), lambda today: F.last_day(today)),
+    (("end of week", "eow"), lambda today: F.next_day(today, "Fri")),
+    (("end of day", "eod"), lambda today: today),
+)
 CHINESE_DAYS = (("大后天", 3), ("后天", 2), ("明天", 1), ("今天", 0), ("今晚", 0))
+#: Parts of a day with their hours; "this evening" is a day, not a time.
+PARTS_OF_DAY = (("noon", 12), ("midnight", 0), ("morning", 9), ("afternoon", 14))
+#: Minutes of the units of a span, in the order in which they are tried.
+UNITS = (("min", 1), ("hour", 60), ("day", 1440), ("week", 10080))
+SPANS = ((("in an hour", "in 1 hour"), 60), (("in a week", "in 1 week"), 10080))
+#: Spans over this many minutes (7,600 years) have no time.
+MAX_SPAN = 4_000_000_000
+#: Numbers from here on are no numbers of a date or a time.
+TOO_LARGE = 2**32
+_BLANK = r"[\p{IsWhite_Space}]*"
+
+
+def _says(text: Column, words: tuple[str, ...]) -> Column:
+    found = text.contains(words[0])
+    for word in words[1:]:
+        found = found | text.contains(word)
+    return found
+
+
+def _after(text: Column, word: str) -> Column:
+    """What follows the first such word; null without one."""
+    at = F.locate(word, text)
+    return F.when(at > 0, F.substring(text, at + len(word), F.length(text)))
+
+
+def _number(digits: Column) -> Column:
+    """Null for no digits and for too many."""
+    number = digits.try_cast("bigint")
+    return F.when(number < TOO_LARGE, number)
+
+
+def _date(year: Column, month: Column, day: Column) -> Column:
+    """Null if there is no such day in the years 1 to 9999."""
+    fits = month.between(1, 12) & day.between(1, 31) & year.between(1, 9999)
+    zero = F.lit(0)
+    return F.when(fits, F.try_make_timestamp_ntz(year.cast("int"), month.cast("int"), day.cast("int"), zero, zero, zero).cast("date"))
+
+
+def _first(choices: list[Column]) -> Column:
+    return F.coalesce(*choices)
+
+
+def _chinese_date(text: Column, today: Column) -> Column:
+    """Month and day around the first sign for month."""
+    form = r"(?s)^[^月]*?([0-9]+)月([0-9]+)"
+    return _date(F.year(today), *[_number(F.regexp_extract(text, form, g)) for g in (1, 2)])
+
+
+def _english_date(lower: Column, today: Column) -> Column:
+    """A month's name and a day, of next year if it is over; only the first place of each name counts."""
+
+    def named(name: str, month: int) -> Column:
+        day = _number(F.regexp_extract(_after(lower, name), f"^{_BLANK}([0-9]+)", 1))
+        this, following = (_date(F.year(today) + k, F.lit(month), day) for k in (0, 1))
+        return F.when(this < today, F.coalesce(following, this)).otherwise(this)
+
+    return _first([F.when(lower.contains(name), named(name, month)) for name, month in MONTHS])
+
+
+def _slash_date(lower: Column, today: Column) -> Column:
+    """The first slash with a day around it, or with a number that is too large, which ends the search."""
+    form = F.lit(r"([0-9]+)/(?=([0-9]+)(?:/([0-9]*))?)")
+    groups = [F.regexp_extract_all(lower, form, F.lit(g)) for g in (1, 2, 3)]
+
+    def read(x: Column) -> Column:
+        month, day, year = (_number(x[str(k)]) for k in range(3))
+        in_year = F.when(year < 2**31, year).otherwise(F.year(today))
+        return F.struct(_date(in_year, month, day).alias("date"), (month.isNull() | day.isNull()).alias("ends"))
+
+    found = F.filter(F.transform(F.arrays_zip(*[g.alias(str(k)) for k, g in enumerate(groups)]), read), lambda x: x["date"].isNotNull() | x["ends"])
+    return F.get(found, F.lit(0))["date"]
+
+
+def _iso_date(lower: Column) -> Column:
+    form = f"^{_BLANK}([0-9]{{1,4}})-([0-9]{{1,2}})-([0-9]{{1,2}}){_BLANK}$"
+    return _date(*[_number(F.regexp_extract(lower, form, g)) for g in (1, 2, 3)])
+
+
+def _day(text: Column, lower: Column, today: Column) -> Column:
+    """The day that a text names, by the first rule that reads one."""
+    padded = F.concat(lower, F.lit(" "))
+    phrases = [F.when(_says(lower, words), day(today)) for words, day in DAY_PHRASES]
+    weekdays = [F.when(padded.contains(name), F.next_day(today, weekday)) for name, weekday in WEEKDAYS]
+    chinese = [F.when(text.contains(word), F.date_add(today, days)) for word, days in CHINESE_DAYS]
+    return _first([*phrases, *weekdays, *chinese, _chinese_date(text, today), _english_date(lower, today), _slash_date(lower, today), _iso_date(lower)])
+
+
+def _span(lower: Column) -> Column:
+    """Minutes from now of 'in N unit' at the first 'in '; null without one, negative if there are too many."""
+    fixed = [F.when(_says(lower, words), F.lit(minutes).cast("bigint")) for words, minutes in SPANS]
+    form = f"^([0-9]+){_BLANK}({'|'.join(name for name, _ in UNITS)})"
+    after = _after(lower, "in ")
+    number, unit = F.regexp_extract(after, form, 1).try_cast("bigint"), F.regexp_extract(after, form, 2)
+    counted = [F.when((unit == name) & number.isNotNull(), F.when(number <= MAX_SPAN // minutes, number * minutes).otherwise(F.lit(-1))) for name, minutes in UNITS]
+    return _first([*fixed, *counted])
+
+
+def _clock(lower: Column) -> Column:
+    """Minutes of the day of a named part of it, of what follows the first 'at ', or else of the first digits with am or pm."""
+    parts = [F.when(lower.contains(word), F.lit(60 * hour)) for word, hour in PARTS_OF_DAY]
+    evening = F.when(lower.contains("evening") & ~lower.contains("this evening"), F.lit(60 * 18))
+    bare = F.regexp_extract(lower, r"[0-9][0-9:]*(?:am|pm|a\.m|p\.m)", 0)
+    said = F.coalesce(_after(lower, "at "), bare)
+    form = f"^{_BLANK}([0-9]*)((?::[0-9:]*)?){_BLANK}(am|pm|a\\.m|p\\.m)?"
+    hour, half = _number(F.regexp_extract(said, form, 1)), F.substring(F.regexp_extract(said, form, 3), 1, 1)
+    minute = F.coalesce(_number(F.replace(F.regexp_extract(said, form, 2), F.lit(":"), F.lit(""))), F.lit(0))
+    hour = F.when((half == "p") & (hour < 12), hour + 12).when((half == "a") & (hour == 12), 0).otherwise(hour)
+    return _first([*parts, evening, F.when((hour < 24) & (minute < 60), (hour * 60 + minute).cast("int"))])
+
+
+def _at(day: Column, minutes: Column) -> Column:
+    return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), minutes)
+
+
+def _due(text: Column, lower: Column, now: Column) -> Column:
+    today, clock, span, day = now.cast("date"), _clock(lower), _span(lower), _day(text, lower, now.cast("date"))
+    rejected = lower.rlike("(?<![a-z])yesterday(?![a-z])") | text.contains("昨天")
+    later = F.when(span >= 0, now + F.make_dt_interval((span / 1440).cast("int"), F.lit(0), (span % 1440).cast("int")))
+    usual = F.when(_says(lower, ("tonight", "this evening")), 60 * 20).when(_says(lower, ("end of day", "eod")), 60 * 17).otherwise(60 * 9)
+    alone = F.when(_at(today, clock) <= now, _at(F.date_add(today, 1), clock)).otherwise(_at(today, clock))
+    spanned = F.when(clock.isNull(), later).otherwise(_at(later.cast("date"), clock))
+    return F.when(rejected, F.lit(None)).when(span.isNotNull(), spanned).otherwise(F.coalesce(_at(day, F.coalesce(clock, usual)), alone))
+
 
+def resolved(column: Column, now: Column | datetime) -> Column:
+    """The time that each text names, without a zone (timestamp_ntz), as seen from now (timestamp_ntz); null for the past
+    ("yesterday"), for no time, for a null or empty text and for days and spans beyond the year 9999.
 
-def next_weekday(day: date, weekday: int) -> date:
-    """Strictly after day."""
-    return day + timedelta(days=(weekday - day.weekday() - 1) % 7 + 1)
-
-
-def _next_month(day: date) -> date:
-    return (day.replace(day=28) + timedelta(days=4)).replace(day=1)
-
-
-def _day(year: int, month: int, day: int) -> date | None:
-    try:
-        return date(year, month, day)
-    except ValueError:
-        return None
-
-
-def _absolute(text: str, today: date) -> date | None:
-    for name, days in CHINESE_DAYS:
-        if name in text:
-            return today + timedelta(days=days)
-    if m := re.search(r"(\d{1,2})月(\d{1,2})[日号]", text):
-        return _day(today.year, int(m[1]), int(m[2]))
-    if m := re.fullmatch(r"\s*(\d{4})-(\d{1,2})-(\d{1,2})\s*", text):
-        return _day(int(m[1]), int(m[2]), int(m[3]))
-    if m := re.search(r"\b(%s)[a-z]*\.?\s+(\d{1,2})(?:st|nd|rd|th)?\b" % "|".join(MONTHS), text.lower()):
-        found = _day(today.year, MONTHS.index(m[1]) + 1, int(m[2]))
-        return found if found is None or found >= today else _day(today.year + 1, found.month, found.day)
-    if m := re.search(r"\b(\d{1,2})/(\d{1,2})(?:/(\d{2,4}))?\b", text):
-        year = int(m[3]) if m[3] else today.year
-        return _day(year + 2000 if year < 100 else year, int(m[1]), int(m[2]))
-    return None
-
-
-def _weekday(text: str) -> int | None:
-    return next((number for name, number in WEEKDAYS if name in text + " "), None)
-
-
-def _named_day(text: str, lower: str, today: date) -> date | None:
-    rules = (
-        (("day after tomorrow",), lambda: today + timedelta(days=2)),
-        (("tomorrow",), lambda: today + timedelta(days=1)),
-        (("tonight", "today", "this evening"), lambda: today),
-        (("this weekend",), lambda: next_weekday(today, 5)),
-        (("next week",), lambda: next_weekday(today, 0) + timedelta(days=7)),
-        (("next month",), lambda: _next_month(today)),
-        (("end of month", "eom"), lambda: _next_month(today) - timedelta(days=1)),
-        (("end of week", "eow"), lambda: next_weekday(today, 4)),
-        (("end of day", "eod"), lambda: today),
-    )
-    for words, day in rules:
-        if any(w in lower for w in words):
-            return day()
-    weekday = _weekday(lower)
-    return _absolute(text, today) if weekday is None else next_weekday(today, weekday)
-
-
-def _from_now(lower: str, now: datetime) -> datetime | None:
-    """The first 'in N unit'."""
-    if "in an hour" in lower:
-        return now + timedelta(hours=1)
-    if "in a week" in lower:
-        return now + timedelta(weeks=1)
-    if (k := lower.find("in ")) >= 0 and (m := re.match(r"(\d+)\s*(min|hour|day|week)", lower[k + 3 :])):
-        try:
-            return now + timedelta(**{{"min": "minutes", "hour": "hours", "day": "days", "week": "weeks"}[m[2]]: int(m[1])})
-        except OverflowError:
-            return None
-    return None
-
-
-def _time(lower: str) -> time | None:
-    for name, hour in PARTS_OF_DAY:
-        if name in lower:
-            return time(hour)
-    if "evening" in lower and "this evening" not in lower:
-        return time(18)
-    k = lower.find("at ")
-    m = re.match(r"\s*(\d{1,2})(?::(\d{2}))?\s*([ap])?\.?m?", lower[k + 3 :]) if k >= 0 else re.search(r"(\d{1,2})(?::(\d{2}))?([ap])\.?m", lower)
-    if not m:
-        return None
-    hour = int(m[1]) % 12 + 12 * (m[3] == "p") if m[3] else int(m[1])
-    minute = int(m[2] or 0)
-    return time(hour, minute) if hour < 24 and minute < 60 else None
-
-
-def resolve(text: str | None, now: datetime) -> datetime | None:
-    """The time that a text names; None for the past and for no time.
-
-    A span from now beats a named day; a named time of day goes with either. A day without a time
-    is at 9, this evening at 20, its end at 17. A time alone is the next such time.
+    A span from now beats a named day; a named time of day goes with either. A day without a time is at 9, this evening at
+    20, its end at 17. A time alone is the next such time.
     """
-    text = text or ""
-    lower = text.lower()
-    if re.search(r"(?<![a-z])yesterday(?![a-z])", lower) or "昨天" in text:
-        return None
-    named = _time(lower)
-    if (span := _from_now(lower, now)) is not None:
-        return datetime.combine(span.date(), named) if named else span
-    if (day := _named_day(text, lower, now.date())) is not None:
-        evening = "tonight" in lower or "this evening" in lower
-        usual = time(20) if evening else time(17) if "end of day" in lower or "eod" in lower else time(9)
-        return datetime.combine(day, named or usual)
-    if named is None:
-        return None
-    at = datetime.combine(now.date(), named)
-    return at if at > now else at + timedelta(days=1)
-
-
-def resolved(column: Column, now: datetime) -> Column:
-    """The named times of a column, with now given so that results can be repeated."""
-
-    @F.pandas_udf("string")
-    def times(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: (r := resolve(t, now)) and r.isoformat(sep=" ", timespec="minutes"))
-
-    return times(column)
+    now = now if isinstance(now, Column) else F.lit(now).cast("timestamp_ntz")
+    # an array of one row, so that the text is lower-cased once and not once a rule
+    one = F.array(F.struct(column.alias("text"), F.lower(column).alias("lower"), now.alias("now")))
+    return F.get(F.transform(one, lambda r: _due(r["text"], r["lower"], r["now"])), F.lit(0))

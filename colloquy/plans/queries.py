@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.config import Settings
-from colloquy.functions import dates, text
+from colloquy.functions import text
 from colloquy.operators import clustering, intervals, relational, state, vectors
 from colloquy.sources import relations as R
 from colloquy.sources.relations import with_sql
@@ -18,7 +16,6 @@ from colloquy.streaming import folds
 SHORT = Settings(window_ms=60_000, window_step_ms=45_000, late_margin_ms=15_000)
 #: Users' events are hours apart.
 LONG = Settings(continuity_ms=6 * 3_600_000, clip_target_ms=12 * 3_600_000, clip_max_ms=24 * 3_600_000, silence_close_ms=3_600_000)
-NOW = datetime(2024, 3, 1, 10, 30)
 NOW_S = 10**9
 
 
@@ -201,12 +198,6 @@ def unlink_speakers(spark: SparkSession, d: str) -> DataFrame:
     return state.unlink(R.segments(spark, d), gone, "speaker_id").select("id", "session_id", "speaker_id")
 
 
-def relative_dates(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/events.parquet")
-    phrase = F.concat(F.lit("call back "), F.element_at(F.array(*map(F.lit, ("tomorrow at 3pm", "next monday", "in 2 hours", "yesterday", "at 9:15am"))), (F.col("event_id") % 5 + 1).cast("int")))
-    return rows.select("event_id", dates.resolved(phrase, NOW).alias("due"))
-
-
 def json_recovery(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/events.parquet")
     answer = F.concat(F.lit("<think>so</think>Sure:\n```json\n{\"items\": ["), "props", F.lit("]}\n```"))
@@ -219,7 +210,7 @@ QUERIES = {
         window_prompts, live_windows, final_windows, reminder_list, reminder_search, reminders_with_labels, label_usage, trace_resolution, attributed_lines,
         midpoint_attribution, clip_archive_text, kind_runs, knn, knn_znorm, knn_threshold, centroid_match, cluster_stats, ahc_clusters, leader_clusters,
         continuity_attribution, clip_boundaries, insert_new, window_upsert, status_transitions, queue_claim, queue_finish, priority_board, prune_unstarred,
-        evidence_match, script_share, reminder_titles, excerpts, patch_reminders, cascade_delete, unlink_speakers, relative_dates, json_recovery,
+        evidence_match, script_share, reminder_titles, excerpts, patch_reminders, cascade_delete, unlink_speakers, json_recovery,
     )
 }
 
@@ -294,7 +285,6 @@ ORACLE_SQL = {
     "reminder_titles": with_sql("reminders", "SELECT id, coalesce(title, CASE WHEN strlen(description) > 60 THEN left(description, 57) || '...' ELSE description END) AS title, coalesce(priority, 'medium') AS priority FROM reminders"),
     "excerpts": with_sql("reminders", """SELECT id, CASE WHEN strlen(description) <= 280 THEN description
         ELSE left(description, (SELECT max(n) FROM range(70, 281) t(n) WHERE strlen(left(description, n)) <= 280)) || '…' END AS excerpt FROM reminders"""),
-    "relative_dates": """SELECT event_id, CASE event_id % 5 WHEN 0 THEN '2024-03-02 15:00' WHEN 1 THEN '2024-03-04 09:00' WHEN 2 THEN '2024-03-01 12:30' WHEN 4 THEN '2024-03-02 09:15' END AS due FROM events""",
     "patch_reminders": with_sql("reminders", "SELECT id, CASE WHEN id % 2 = 0 THEN 'high' ELSE priority END AS priority, CASE WHEN id % 3 = 0 THEN 'New' ELSE title END AS title, status FROM reminders"),
     "cascade_delete": with_sql("reminders reminder_labels", "SELECT b.* FROM reminder_labels b WHERE NOT EXISTS (SELECT 1 FROM reminders r WHERE r.id = b.reminder_id AND r.status = 'archived')"),
     "unlink_speakers": with_sql("segments", "SELECT id, session_id, CASE WHEN speaker_id <> 'user' THEN speaker_id END AS speaker_id FROM segments"),

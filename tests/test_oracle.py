@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from colloquy.plans import answer_queries, line_queries, queries, signal_queries, store_queries
+from colloquy.plans import answer_queries, date_queries, line_queries, queries, signal_queries, store_queries
 
-QUERIES = queries.QUERIES | store_queries.QUERIES | line_queries.QUERIES | answer_queries.QUERIES | signal_queries.QUERIES
-ORACLE_SQL = queries.ORACLE_SQL | store_queries.ORACLE_SQL | line_queries.ORACLE_SQL | answer_queries.ORACLE_SQL | signal_queries.ORACLE_SQL
+QUERIES = queries.QUERIES | store_queries.QUERIES | line_queries.QUERIES | answer_queries.QUERIES | signal_queries.QUERIES | date_queries.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | store_queries.ORACLE_SQL | line_queries.ORACLE_SQL | answer_queries.ORACLE_SQL | signal_queries.ORACLE_SQL | date_queries.ORACLE_SQL
 TABLES = Path(os.environ.get("ORACLE_TABLES", "/root/testdata/sf0.001"))
 
 
