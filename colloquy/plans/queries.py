@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.config import Settings
 from colloquy.functions import text
-from colloquy.operators import clustering, intervals, relational, state, vectors
+from colloquy.operators import clustering, intervals, neighbours, relational, state, vectors
 from colloquy.sources import relations as R
 from colloquy.sources.relations import with_sql
 from colloquy.streaming import folds
@@ -82,6 +82,11 @@ def knn(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d).select("query", "id", "speaker_id", F.round("sim", 4).alias("sim"), "place")
 
 
+def near_voices(spark: SparkSession, d: str) -> DataFrame:
+    pool = R.voices(spark, d)
+    return neighbours.nearest(pool.where("id % 50 = 0"), pool, 5, per_block=256).select("query", "id", "speaker_id", F.round("sim", 4).alias("sim"), "place")
+
+
 def knn_znorm(spark: SparkSession, d: str) -> DataFrame:
     return vectors.accepted_by_score(_near(spark, d)).select("query", "id", "speaker_id", F.round("z", 4).alias("z"), "accepted")
 
@@ -208,7 +213,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         window_prompts, live_windows, final_windows, reminder_list, reminder_search, reminders_with_labels, label_usage, trace_resolution, attributed_lines,
-        midpoint_attribution, clip_archive_text, kind_runs, knn, knn_znorm, knn_threshold, centroid_match, cluster_stats, ahc_clusters, leader_clusters,
+        midpoint_attribution, clip_archive_text, kind_runs, knn, near_voices, knn_znorm, knn_threshold, centroid_match, cluster_stats, ahc_clusters, leader_clusters,
         continuity_attribution, clip_boundaries, insert_new, window_upsert, status_transitions, queue_claim, queue_finish, priority_board, prune_unstarred,
         evidence_match, script_share, reminder_titles, excerpts, patch_reminders, cascade_delete, unlink_speakers, json_recovery,
     )
@@ -253,6 +258,7 @@ ORACLE_SQL = {
         numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY start_ms, id) AS run FROM marked)
         SELECT session_id, run, kind, count(*) AS n_rows, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM numbered GROUP BY session_id, run, kind"""),
     "knn": with_sql("voices", f", {_NEAR} SELECT query, id, speaker_id, round(sim, 4) AS sim, place FROM near"),
+    "near_voices": with_sql("voices", f", {_NEAR} SELECT query, id, speaker_id, round(sim, 4) AS sim, place FROM near"),
     "knn_znorm": with_sql("voices", f""", {_NEAR}, s AS (SELECT *, avg(sim) OVER (PARTITION BY query) AS m, stddev_pop(sim) OVER (PARTITION BY query) AS d, count(*) OVER (PARTITION BY query) AS n FROM near)
         SELECT query, id, speaker_id, CASE WHEN d <= 0.001 THEN 0.0 ELSE round((sim - m) / d, 4) END AS z, CASE WHEN d <= 0.001 THEN sim >= 0.5 ELSE sim > m END AS accepted
         FROM s WHERE (d <= 0.001 AND place = n) OR (d > 0.001 AND place = 1)"""),
