@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.config import DEFAULTS, Settings
 from colloquy.operators import store
+from colloquy.operators.vectors import summed as sums_of
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -138,9 +139,8 @@ def name_clusters(members: DataFrame, speakers: DataFrame, settings: Settings =
     unit = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     scaled = F.transform("embedding", lambda x: x.cast("double") / F.greatest(unit, F.lit(1e-8)))
 
-    def summed(rows: DataFrame, by: list[str], vector, name: str) -> DataFrame:
-        places = rows.select(*by, F.posexplode(vector).alias("pos", "x")).groupBy(*by, "pos").agg(F.sum(F.col("x").cast("double")).alias("x"))
-        return places.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "x")))["x"].alias(name))
+    def summed(rows: DataFrame, by: list[str], vector: Column, name: str) -> DataFrame:
+        return sums_of(rows, by, vector).select(*by, F.col("total").alias(name))
 
     starts = kept.groupBy(*keys).agg(F.min("start_ms").alias("start_ms"))
     found = starts.join(summed(kept, keys, scaled, "center"), keys).join(summed(kept, keys, F.col("embedding"), "total"), keys)

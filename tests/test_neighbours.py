@@ -63,3 +63,13 @@ def test_clusters_spare_most_pairs(spark):
     cost = neighbours.comparisons(asked, pool, 5, by="tenant_id", per_block=40).collect()[0]
     print(cost)
     assert cost.pairs == 160 * 2000 and cost.compared < 0.3 * cost.pairs
+
+
+def test_centroids_of_uneven_vectors(spark):
+    rows = [("a", [3.0, 0.0]), ("a", [1.0, 0.0, 4.0]), ("a", None), ("a", []), ("b", [0.0, 0.0]), ("c", None), ("d", [None, 2.0]), (None, [5.0])]
+    table = spark.createDataFrame(rows, "speaker_id string, embedding array<float>")
+    found = {r.speaker_id: ([round(x, 6) for x in r.centroid], r.n) for r in vectors.centroids(table).collect()}
+    norm = np.hypot(2, 4)
+    assert found == {"a": ([round(2 / norm, 6), 0.0, round(4 / norm, 6)], 2), "b": ([0.0, 0.0], 1), "d": ([0.0, 1.0], 1), None: ([1.0], 1)}
+    assert vectors.centroids(table.limit(0)).count() == 0
+    assert "Python" not in vectors.centroids(table)._jdf.queryExecution().executedPlan().toString()
