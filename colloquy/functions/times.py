@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, made: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is worked out once, however often made names it."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def iso_millis(seconds: Column) -> Column:
     """Seconds of the epoch as ISO text with milliseconds in UTC."""
     return F.date_format(F.timestamp_millis((seconds * 1000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
@@ -24,22 +31,32 @@ def due_utc(column: Column, zone: str, formats: tuple[str, ...] = ("yyyy-MM-dd'T
 def single_utc(local: Column, zone: str) -> Column:
     """The one instant at which clocks of a zone show a local time, in UTC; null if there are none or two, as when clocks are
     changed. The offsets of a day before and a day after are tried, each kept if it leads back to the local time."""
-    near = F.to_utc_timestamp(local, zone)
     day = F.expr("INTERVAL 1 DAY")
-    offset = lambda at: F.from_utc_timestamp(at, zone) - at
-    tries = [local - offset(near - day), local - offset(near + day)]
-    fits = F.array_distinct(F.array_compact(F.array(*[F.when(F.from_utc_timestamp(t, zone) == local, t) for t in tries])))
-    return F.when(F.size(fits) == 1, F.get(fits, 0))
+
+    def tried(t: Column, at: Column) -> Column:
+        """t by the offset at an instant, if clocks then show t."""
+        back = lambda u: F.when(F.from_utc_timestamp(u, zone) == t, u)
+        return once(at, lambda u: once(t - (F.from_utc_timestamp(u, zone) - u), back))
+
+    def single(t: Column) -> Column:
+        return once(F.to_utc_timestamp(t, zone), lambda near: once(F.struct(tried(t, near - day).alias("a"), tried(t, near + day).alias("b")), one))
+
+    def one(u: Column) -> Column:
+        return F.when(u["a"].isNull() | u["b"].isNull() | (u["a"] == u["b"]), F.coalesce(u["a"], u["b"]))
+
+    return once(local, single)
 
 
-#: The forms of due times that a reminder asked for at once may have.
-ASKED_FORMATS = ("y-M-d'T'H:m", "y-M-d'T'H:m:s", "y-M-d H:m")
+#: The forms of due times that a reminder asked for at once may have, and what a text of each looks like. Each text
+#: looks like one form at most, so that none is tried in vain: a text that Spark cannot read costs it an exception.
+_DATE, _TIME = "^[+-]?[0-9]+-[+-]?[0-9]+-[+-]?[0-9]+", "[+-]?[0-9]+:[+-]?[0-9]+"
+ASKED_FORMATS = (("y-M-d'T'H:m", f"{_DATE}[Tt]{_TIME}$"), ("y-M-d'T'H:m:s", f"{_DATE}[Tt]{_TIME}:[+-]?[0-9]+$"), ("y-M-d H:m", f"{_DATE} {_TIME}$"))
 
 
 def asked_due(column: Column, zone: str) -> Column:
     """A local due time in UTC; null if no form reads it, or if the zone's clocks show it twice or never."""
-    local = F.coalesce(*[F.try_to_timestamp(column, F.lit(f)) for f in ASKED_FORMATS])
-    return F.date_format(single_utc(local, zone), "yyyy-MM-dd HH:mm:ss")
+    local = lambda t: F.coalesce(*[F.when(t.rlike(looks), F.try_to_timestamp(t, F.lit(form))) for form, looks in ASKED_FORMATS])
+    return F.date_format(single_utc(once(column, local), zone), "yyyy-MM-dd HH:mm:ss")
 
 
 def short(at: Column, now: Column) -> Column:

@@ -96,7 +96,8 @@ def asked_due(spark: SparkSession, d: str) -> DataFrame:
     base = F.when(i % 2 == 0, F.lit("2024-03-09 12:00:00")).otherwise("2024-11-02 12:00:00").cast("timestamp")
     local = F.timestamp_seconds(F.unix_timestamp(base) + i * 7 % 2880 * 60)
     texts = [F.date_format(local, f) for f in ("yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "y-M-d H:m", "dd.MM.yyyy")]
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", times.asked_due(F.element_at(F.array(*texts), (i % 4 + 1).cast("int")), "America/New_York").alias("due"))
+    text = F.when(i % 4 == 0, texts[0]).when(i % 4 == 1, texts[1]).when(i % 4 == 2, texts[2]).otherwise(texts[3])
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", times.asked_due(text, "America/New_York").alias("due"))
 
 
 QUERIES = {f.__name__: f for f in (repaired_answers, json_kinds, wav_decode, session_levels, level_reports, confirm_requests, confirmed_segments, asked_due)}

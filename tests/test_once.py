@@ -12,6 +12,16 @@ def planned(df):
     return df._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+def test_due_times(spark):
+    said = {
+        "2024-07-01T10:30": "2024-07-01 14:30:00", "2024-7-1t1:2:3": "2024-07-01 05:02:03", "2024-01-01 0:0": "2024-01-01 05:00:00", "2024-03-10T02:30": None, "2024-11-03T01:30": None,
+        "2024-02-30T10:00": None, "01.02.2024": None, "2024-01-01": None, "": None, None: None, " 2024-01-01 0:0": None, "2024-01-01T10:61": None,
+    }
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(said)], "k int, t string").select("k", times.asked_due(F.concat("t", F.lit("")), "America/New_York").alias("due"))
+    assert [r.due for r in rows.orderBy("k").collect()] == list(said.values())
+    assert planned(rows).count("gettimestamp") == 3 and planned(rows).count("concat(") == 1
+
+
 def test_meetings_are_bounded(spark):
     rng = np.random.default_rng(2)
     q, p = rng.normal(size=(1000, 8)), rng.normal(size=(90, 8))
