@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.times import once
+
 #: What counts as no value, and the words for priorities and confidences.
 NO_VALUE = ("", "null", "none", "n/a", "na", "undefined", "-")
 PRIORITY_WORDS = {"high": ("high", "urgent", "critical"), "medium": ("medium", "med", "normal"), "low": ("low", "minor")}
@@ -71,11 +73,27 @@ def script_share(column: Column, script: str) -> Column:
 def looks_like(column: Column, language: str) -> Column:
     """Whether a text is written as its language is: at least 3 letters, seven tenths of the script. Chinese has no
     kana, Japanese has some. Letters: Latin, unified ideographs and kana; all else is passed over."""
-    count = lambda letters: F.length(F.regexp_replace(F.coalesce(column, F.lit("")), f"[^{letters}]", ""))
-    latin, cjk, kana = count("A-Za-zÀ-ɏ"), count("一-鿿㐀-䶿"), count("぀-ヿ")
-    total = latin + cjk + kana
-    fits = {"zh": (cjk >= 0.7 * total) & (kana == 0), "ja": (kana > 0) & (kana + cjk >= 0.7 * total)}
-    return (total >= 3) & fits.get(language, latin >= 0.7 * total)
+    return written_as(letters(column), language)
+
+
+def letters(column: Column) -> Column:
+    """How many Latin letters, unified ideographs and kana a text has (latin, cjk, kana)."""
+    # what is left out goes in runs, not sign by sign; the array of one row works the text out once and not once a script
+    count = lambda t, kept: F.length(F.regexp_replace(t, f"[^{kept}]+", ""))
+    scripts = (("latin", "A-Za-zÀ-ɏ"), ("cjk", "一-鿿㐀-䶿"), ("kana", "぀-ヿ"))
+    return once(F.coalesce(column, F.lit("")), lambda t: F.struct(*[count(t, kept).alias(name) for name, kept in scripts]))
+
+
+def written_as(counts: Column, language: str) -> Column:
+    """looks_like of a text with these counts of letters."""
+
+    def fits(n: Column) -> Column:
+        latin, cjk, kana = n["latin"], n["cjk"], n["kana"]
+        total = latin + cjk + kana
+        by_language = {"zh": (cjk >= 0.7 * total) & (kana == 0), "ja": (kana > 0) & (kana + cjk >= 0.7 * total)}
+        return (total >= 3) & by_language.get(language, latin >= 0.7 * total)
+
+    return once(counts, fits)
 
 
 def ascii_lower(column: Column) -> Column:

@@ -271,7 +271,8 @@ def mono_half_rate(spark: SparkSession, d: str) -> DataFrame:
 def target_language(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/documents.parquet")
     said = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.repeat(F.lit("漢字"), F.col("n_chars").cast("int")))).when(F.col("doc_id") % 3 == 1, F.concat(F.left("text", F.lit(9)), F.lit("ひらがなカタカナ漢字ひらがなカタカナ漢字ひらがな"))).otherwise(F.col("text"))
-    return rows.select("doc_id", *[text.looks_like(said, lang).alias(lang) for lang in ("en", "zh", "ja")])
+    langs = ("en", "zh", "ja")
+    return rows.select("doc_id", times.once(text.letters(said), lambda n: F.struct(*[text.written_as(n, lang).alias(lang) for lang in langs])).alias("fits")).select("doc_id", "fits.*")
 
 
 QUERIES = {

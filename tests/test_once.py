@@ -22,6 +22,16 @@ def test_due_times(spark):
     assert planned(rows).count("gettimestamp") == 3 and planned(rows).count("concat(") == 1
 
 
+def test_letters(spark):
+    said = ["漢字かな", "漢字", "abc", "ab", "", None, "Ünï 漢", "x" * 200_000 + "漢" * 200_000]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(said)], "k int, t string").withColumn("n", text.letters(F.col("t")))
+    found = rows.select("n.*", *[text.written_as(F.col("n"), x).alias(x) for x in ("en", "zh", "ja")], *[text.looks_like(F.col("t"), x).alias(f"own_{x}") for x in ("en", "zh", "ja")]).collect()
+    assert [tuple(r[:3]) for r in found] == [(0, 2, 2), (0, 2, 0), (3, 0, 0), (2, 0, 0), (0, 0, 0), (0, 0, 0), (3, 1, 0), (200_000, 200_000, 0)]
+    assert all(r[3:6] == r[6:9] for r in found)
+    one = spark.range(5).select(text.looks_like(F.col("id").cast("string"), "ja").alias("fits"))
+    assert planned(one).count("regexp_replace") == 3
+
+
 def test_meetings_are_bounded(spark):
     rng = np.random.default_rng(2)
     q, p = rng.normal(size=(1000, 8)), rng.normal(size=(90, 8))
