@@ -32,6 +32,11 @@ def test_letters(spark):
     assert planned(one).count("regexp_replace") == 3
 
 
+def test_dates_read_once(spark):
+    rows = spark.range(5).select(dates.resolved(F.concat(F.lit("in "), F.col("id").cast("string"), F.lit(" days")), F.current_timestamp().cast("timestamp_ntz")).alias("due"))
+    assert planned(rows).count("(am|pm|a\\.m|p\\.m)?") == 3 and planned(rows).count("(min|hour|day|week)") == 2
+
+
 def test_meetings_are_bounded(spark):
     rng = np.random.default_rng(2)
     q, p = rng.normal(size=(1000, 8)), rng.normal(size=(90, 8))
