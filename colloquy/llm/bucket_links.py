@@ -20,6 +20,9 @@ from colloquy.llm.components import connected
 #: Points of a bucket that meet as many others in one row group of the last join.
 TILE = 256
 
+#: Nodes that a node was tested against, of which its points know in the last join; pairs beyond these meet again there.
+KNOWN = 256
+
 #: Orders in which a bucket's point to meet is chosen, round by round: the last node's, then two mixed orders.
 _FLIPS = (-1, 0x3C6EF372FE94F82B, 0x5BE0CD19137E2179)
 
@@ -86,8 +89,18 @@ class Marks:
         return ordered(pairs.join(left, "p").join(right, "q").where(self.near(self.names, self.there)).select("a", "b"))
 
 
-def _across(mixed: DataFrame, marks: Marks) -> DataFrame:
-    """Pairs of nodes of different groups that share a key and whose marks allow a link.
+def _known(tested: DataFrame, groups: Groups) -> DataFrame:
+    """(node, known): the nodes of other groups that a node was tested against, KNOWN at most."""
+    apart = groups.rooted(groups.rooted(tested.select("a", "b"), "a"), "b").where("a_root <> b_root")
+    both = cut(apart.select(F.col("a").alias("node"), F.col("b").alias("other")).union(apart.select("b", "a")).distinct())
+    # one node for each value of a hash: a node that was tested against very many gathers no more than so many
+    few = both.groupBy("node", F.pmod(F.xxhash64("other"), F.lit(KNOWN)).alias("place")).agg(F.min("other").alias("other"))
+    return few.groupBy("node").agg(F.collect_list("other").alias("known"))
+
+
+def _across(mixed: DataFrame, marks: Marks, known: DataFrame) -> DataFrame:
+    """Pairs of nodes of different groups that share a key and whose marks allow a link, without pairs of which a node knows
+    (known: node, known). Nodes that are nearly linked share many keys, and a pair that was tested would meet in all of them.
 
     The points outside a key's main group meet all of its points. Both sides are dealt into tiles, and
     each pair of tiles is a join key of its own: a hot key is many tasks.
@@ -96,10 +109,11 @@ def _across(mixed: DataFrame, marks: Marks) -> DataFrame:
     tile = lambda n: F.pmod(F.xxhash64("point"), tiles(n))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), tiles(n) - 1))
     marked = cut(mixed.join(marks.rows.drop("node"), "point"))
-    left = marked.where("node_root <> main").select("key", "node", "node_root", *marks.names, tile("others").alias("i"), spread("total").alias("j"))
+    asking = marked.where("node_root <> main").join(known, "node", "left")
+    left = asking.select("key", "node", "node_root", F.coalesce("known", F.array().cast(dict(known.dtypes)["known"])).alias("known"), *marks.names, tile("others").alias("i"), spread("total").alias("j"))
     right = marked.select("key", F.col("node").alias("other"), F.col("node_root").alias("other_root"), "main", *[F.col(c).alias(t) for c, t in zip(marks.names, marks.there, strict=True)], tile("total").alias("j"), spread("others").alias("i"))
     meet = (F.col("node_root") < F.col("other_root")) | ((F.col("node_root") > F.col("other_root")) & (F.col("other_root") == F.col("main")))
-    return ordered(left.join(right, ["key", "i", "j"]).where(meet & marks.near(marks.names, marks.there)).select(F.col("node").alias("a"), F.col("other").alias("b")))
+    return ordered(left.join(right, ["key", "i", "j"]).where(meet & ~F.array_contains("known", F.col("other")) & marks.near(marks.names, marks.there)).select(F.col("node").alias("a"), F.col("other").alias("b")))
 
 
 def link(entries: DataFrame, marks: Marks, groups: Groups) -> None:
@@ -137,6 +151,6 @@ def link(entries: DataFrame, marks: Marks, groups: Groups) -> None:
             break
         mixed = groups.mixed(mixed)
     if not mixed.isEmpty():
-        pairs = cut(_across(mixed, marks))
+        pairs = cut(_across(mixed, marks, cut(_known(tested, groups))))
         groups.add(cut(groups.verify(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))))
     collect_garbage(entries.sparkSession)
