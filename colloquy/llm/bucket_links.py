@@ -23,6 +23,9 @@ TILE = 256
 #: Nodes that a node was tested against, of which its points know in the last join; pairs beyond these meet again there.
 KNOWN = 256
 
+#: The least keys of a point that go with it into the last join, where a pair meets in the least one that both have.
+SHORT = 16
+
 #: Orders in which a bucket's point to meet is chosen, round by round: the last node's, then two mixed orders.
 _FLIPS = (-1, 0x3C6EF372FE94F82B, 0x5BE0CD19137E2179)
 
@@ -57,10 +60,13 @@ class Groups:
     def mixed(self, entries: DataFrame) -> DataFrame:
         """The entries (key, point, node) of keys whose nodes are of several groups, with node_root,
         the key's largest group (main), and its numbers of entries (total) and of those not in main
-        (others)."""
+        (others). Of keys with the same points (by number and 128 bits of hashes) one stays, as
+        the same pairs meet in all of them."""
         entries = cut(self.rooted(entries.select("key", "point", "node"), "node"))
-        parts = entries.groupBy("key", "node_root").agg(F.count("*").alias("n"))
-        keys = parts.groupBy("key").agg(F.max_by("node_root", F.struct("n", "node_root")).alias("main"), F.sum("n").alias("total"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+        hashes = [F.bit_xor(F.xxhash64("point", F.lit(k))).alias(f"h{k}") for k in range(2)]
+        parts = entries.groupBy("key", "node_root").agg(F.count("*").alias("n"), *hashes)
+        keys = parts.groupBy("key").agg(F.max_by("node_root", F.struct("n", "node_root")).alias("main"), F.sum("n").alias("total"), (F.sum("n") - F.max("n")).alias("others"), *[F.bit_xor(f"h{k}").alias(f"h{k}") for k in range(2)]).where("others > 0")
+        keys = keys.groupBy("total", "others", "main", "h0", "h1").agg(F.min("key").alias("key")).drop("h0", "h1")
         return cut(entries.join(keys, "key"))
 
 
@@ -98,22 +104,30 @@ def _known(tested: DataFrame, groups: Groups) -> DataFrame:
     return few.groupBy("node").agg(F.collect_list("other").alias("known"))
 
 
+def _short(mixed: DataFrame) -> DataFrame:
+    """(point, short): the SHORT least keys of each point."""
+    return mixed.groupBy("point").agg(F.slice(F.array_sort(F.collect_set("key")), 1, SHORT).alias("short"))
+
+
 def _across(mixed: DataFrame, marks: Marks, known: DataFrame) -> DataFrame:
     """Pairs of nodes of different groups that share a key and whose marks allow a link, without pairs of which a node knows
     (known: node, known). Nodes that are nearly linked share many keys, and a pair that was tested would meet in all of them.
 
     The points outside a key's main group meet all of its points. Both sides are dealt into tiles, and
-    each pair of tiles is a join key of its own: a hot key is many tasks.
+    each pair of tiles is a join key of its own: a hot key is many tasks. Of the keys that two points
+    share they meet in one, the least of those among both points' least keys; points that have none of
+    these in common share few keys, and meet in all.
     """
     tiles = lambda n: F.ceil(F.col(n) / TILE)
     tile = lambda n: F.pmod(F.xxhash64("point"), tiles(n))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), tiles(n) - 1))
-    marked = cut(mixed.join(marks.rows.drop("node"), "point"))
+    marked = cut(mixed.join(marks.rows.drop("node"), "point").join(_short(mixed), "point"))
     asking = marked.where("node_root <> main").join(known, "node", "left")
-    left = asking.select("key", "node", "node_root", F.coalesce("known", F.array().cast(dict(known.dtypes)["known"])).alias("known"), *marks.names, tile("others").alias("i"), spread("total").alias("j"))
-    right = marked.select("key", F.col("node").alias("other"), F.col("node_root").alias("other_root"), "main", *[F.col(c).alias(t) for c, t in zip(marks.names, marks.there, strict=True)], tile("total").alias("j"), spread("others").alias("i"))
+    left = asking.select("key", "node", "node_root", F.coalesce("known", F.array().cast(dict(known.dtypes)["known"])).alias("known"), "short", *marks.names, tile("others").alias("i"), spread("total").alias("j"))
+    right = marked.select("key", F.col("node").alias("other"), F.col("node_root").alias("other_root"), "main", F.col("short").alias("other_short"), *[F.col(c).alias(t) for c, t in zip(marks.names, marks.there, strict=True)], tile("total").alias("j"), spread("others").alias("i"))
     meet = (F.col("node_root") < F.col("other_root")) | ((F.col("node_root") > F.col("other_root")) & (F.col("other_root") == F.col("main")))
-    return ordered(left.join(right, ["key", "i", "j"]).where(meet & ~F.array_contains("known", F.col("other")) & marks.near(marks.names, marks.there)).select(F.col("node").alias("a"), F.col("other").alias("b")))
+    once = F.coalesce(F.array_min(F.array_intersect("short", "other_short")) == F.col("key"), F.lit(True))
+    return ordered(left.join(right, ["key", "i", "j"]).where(meet & ~F.array_contains("known", F.col("other")) & marks.near(marks.names, marks.there) & once).select(F.col("node").alias("a"), F.col("other").alias("b")))
 
 
 def link(entries: DataFrame, marks: Marks, groups: Groups) -> None:
@@ -150,6 +164,7 @@ def link(entries: DataFrame, marks: Marks, groups: Groups) -> None:
         if not groups.add(found):
             break
         mixed = groups.mixed(mixed)
+        collect_garbage(entries.sparkSession)
     if not mixed.isEmpty():
         pairs = cut(_across(mixed, marks, cut(_known(tested, groups))))
         groups.add(cut(groups.verify(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))))
