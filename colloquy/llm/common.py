@@ -5,9 +5,10 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import threading
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,22 @@ def cut(df: DataFrame) -> DataFrame:
     _written.append((spark, path))
     if len(_written) == 1:
         atexit.register(_forget)
+    for paths in getattr(_open, "scopes", ()):
+        paths.append(path)
+    return out
+
+
+def cut_alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """cut(make()); all else that make wrote on its way with cut is deleted, so make must keep none of it for later."""
+    scopes = _open.scopes = getattr(_open, "scopes", [])
+    scopes.append(paths := [])
+    try:
+        out = cut(make())
+    finally:
+        scopes.pop()
+    for path in paths:
+        if path != out._written_at:
+            _delete(out.sparkSession, path)
     return out
 
 
@@ -85,6 +102,8 @@ def drop(df: DataFrame) -> None:
 
 
 _written: list[tuple[SparkSession, str]] = []
+#: In each thread: what was written in each cut_alone that has not ended.
+_open = threading.local()
 
 
 def _delete(spark: SparkSession, path: str) -> None:

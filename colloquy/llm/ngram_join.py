@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.bucket_links import Groups, Marks, link
-from colloquy.llm.common import cut, mix64, quoted, slices, spare
+from colloquy.llm.common import cut, cut_alone, mix64, quoted, slices, spare
 
 #: Cost model: chance that an unrelated set has an element's place filled alike, sets met.
 ALIKE, MET = 0.05, 1e5
@@ -286,6 +286,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """
     own = spare(docs.columns)
     rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
-    gone = cut(_grouped(rows, Likeness(words, percent)).where("id <> component_id").select(F.col("id").alias(f"{own}id"), F.col("digest").alias(f"{own}digest")).distinct())
+    gone = cut_alone(lambda: _grouped(rows, Likeness(words, percent)).where("id <> component_id").select(F.col("id").alias(f"{own}id"), F.col("digest").alias(f"{own}digest")).distinct())
     digest = F.unhex(F.sha2(F.coalesce(F.col(quoted(text_col)), F.lit("")), 256))
     return docs.join(gone, (F.col(quoted(id_col)) == F.col(f"{own}id")) & (digest == F.col(f"{own}digest")), "left_anti").select(*[F.col(quoted(c)) for c in docs.columns])

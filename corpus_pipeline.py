@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
-from colloquy.llm.common import cut, table
+from colloquy.llm.common import cut_alone, drop, table
 from colloquy.llm.queries import TARGETS, labelled_domains, vocabulary_path
 
 
@@ -47,8 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to documents; each result is written as Parquet and read again. What a stage
+    wrote besides, and its input, are deleted once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        docs = cut_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
