@@ -1,20 +1,26 @@
 """How far the sources of a language differ in the terms they use.
 
-Each term of a language becomes one row with its counts laid out by source. From these wide rows
-higher-order functions emit what the term adds to the distance of each pair of sources, which is
-summed on the map side. All shares are whole numbers, so results do not depend on the order.
+Terms are cut and counted in numpy, some MB of texts at a time, so that Spark gets a row for each
+term and group of a piece, not for each occurrence. Each term of a language becomes one row with its
+counts laid out by source. From these wide rows higher-order functions emit what the term adds to the
+distance of each pair of sources, which is summed on the map side. All shares are whole numbers, so results do not depend on the order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import cut, quoted
 
-#: Runs of ASCII letters and of characters outside ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Terms are runs of ASCII letters and of characters outside ASCII. For each byte of UTF-8 what it is in a term, 0 where it parts terms.
+IN_TERM = bytes(b if b >= 128 or chr(b).islower() else b + 32 if chr(b).isupper() else 0 for b in range(256))
+#: Texts that are counted at a time inside a task, in bytes (one at least) and in rows, and rows that it gives back at a time.
+PIECE_BYTES, PIECE_ROWS, OUT_ROWS = 16 << 20, 1 << 16, 1 << 16
 #: A share is told in billionths, over counts that each get this much more.
 SCALE, MORE = 1_000_000_000, 5
 #: Documents of the language in which a term has to occur, and terms of a group that are listed.
@@ -29,14 +35,66 @@ def _share(count: Column, total: Column, terms: Column) -> Column:
 
 def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """lang, source, term, n (occurrences) and df (documents) for every term of every group; '' for nulls."""
-    said = F.regexp_extract_all(F.translate(F.coalesce(F.col(quoted(text_col)), F.lit("")), UPPER, LOWER), F.lit(TERM), F.lit(0))
-    rows = docs.select(*_group(lang_col, source_col), said.alias("terms"))
-    count = lambda terms, n, df: F.struct(terms.alias("terms"), F.lit(n).alias("n"), F.lit(df).alias("df"))
-    twice = rows.select("lang", "source", F.explode(F.array(count(F.col("terms"), 1, 0), count(F.array_distinct("terms"), 0, 1))).alias("x"))
-    single = twice.select("lang", "source", F.col("x.n").alias("n"), F.col("x.df").alias("df"), F.explode("x.terms").alias("term"))
+    text = F.make_valid_utf8(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")))
+    single = docs.select(*_group(lang_col, source_col), text.alias("text")).mapInArrow(_counted, "lang string, source string, term string, n long, df long")
     return single.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each term of each group in each piece of the texts."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        texts = batch.column(2).cast(pa.large_binary())
+        offsets, at = _offsets(texts), 0
+        while at < len(texts):
+            full = int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, "right")) - 1
+            to = min(max(at + 1, full), at + PIECE_ROWS, len(texts))
+            found = count_terms(batch.column(0)[at:to], batch.column(1)[at:to], texts[at:to])
+            for k in range(0, found.num_rows, OUT_ROWS):
+                yield found.slice(k, OUT_ROWS)
+            at = to
+
+
+def count_terms(langs: pa.Array, sources: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """lang, source, term, n and df of some rows, one at least and without nulls; texts: UTF-8 as large_binary."""
+    spans, raw = cut_terms(texts)
+    lengths = spans[1::2] - spans[::2]
+    joined = raw.translate(None, b"\0")
+    coded = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(np.append(0, np.cumsum(lengths))), pa.py_buffer(joined)]).dictionary_encode()
+    langs, sources = langs.dictionary_encode(), sources.dictionary_encode()
+    groups, group = np.unique(langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy(), return_inverse=True)
+    offsets, rows, terms = _offsets(texts), len(texts), max(1, len(coded.dictionary))
+    row = np.repeat(np.arange(rows), np.diff(np.searchsorted(spans[::2], offsets - offsets[0])))
+    # one number for (group, term, row), of 55 bits at most: sorted, a term of a group stands together, and in it each row
+    keys = np.sort((group[row] * terms + coded.indices.to_numpy()) * rows + row)
+    cells = keys // rows
+    first = np.flatnonzero(np.diff(cells, prepend=-1))
+    n = np.diff(np.append(first, len(keys)))
+    df = np.add.reduceat((np.diff(keys, prepend=-1) != 0).astype(np.int64), first) if len(first) else n
+    of = groups[cells[first] // terms]
+    said = coded.dictionary.take(pa.array(cells[first] % terms)).cast(pa.large_string()).cast(pa.string())
+    named = [x.dictionary.take(pa.array(k)) for x, k in ((langs, of // len(sources.dictionary)), (sources, of % len(sources.dictionary)))]
+    return pa.RecordBatch.from_arrays([*named, said, pa.array(n), pa.array(df)], ["lang", "source", "term", "n", "df"])
+
+
+def cut_terms(texts: pa.Array) -> tuple[np.ndarray, bytes]:
+    """Where terms begin and end, in turn, in the texts' bytes, and those bytes as IN_TERM has them."""
+    offsets = _offsets(texts)
+    data = texts.buffers()[2]
+    raw = (b"" if data is None else data[int(offsets[0]) : int(offsets[-1])].to_pybytes()).translate(IN_TERM)
+    inside = np.concatenate(([False], np.frombuffer(raw, np.uint8) != 0, [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    # where one text ends in a term and the next begins with one, a term ends and another begins
+    touch = np.unique(offsets - offsets[0])
+    touch = np.repeat(touch[inside[touch] & inside[touch + 1]], 2)
+    return np.insert(edges, np.searchsorted(edges, touch), touch), raw
+
+
+def _offsets(texts: pa.Array) -> np.ndarray:
+    return np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+
+
 def _group(lang_col: str, source_col: str) -> list[Column]:
     return [F.coalesce(F.col(quoted(c)).cast("string"), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"))]
 

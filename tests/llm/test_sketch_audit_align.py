@@ -1,10 +1,12 @@
 """SetSketch near copies, source audit and token alignment against brute force, and their odd rows."""
 
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from test_exact_results import SMALL, linked_groups
@@ -155,6 +157,39 @@ def test_audit_by_brute_force(spark):
     assert source_audit.divergence(named, text_col="t.x", least=5).count() == source_audit.divergence(docs, least=5).count()
 
 
+def test_audit_counts_each_piece_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    bits = ["Abc", "aBC", "ß", "É", "日", "🙂", "@", "[", "`", "{", "\x7f", "\0", " ", "\n", "z", "Z", "9"]
+    rows = [(str(rng.choice(["de", "en", ""])), f"s{rng.integers(0, 3)}", "".join(rng.choice(bits, rng.integers(0, 12)))) for _ in range(400)]
+    rows += [("en", "s0", ""), ("en", "s0", "tail"), ("en", "s0", "head"), ("en", "s1", "the " * 5000), ("no", "s9", "")]
+    terms_of = lambda t: re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t))
+    want, held = Counter(), Counter()
+    for lang, source, text in rows:
+        want.update((lang, source, t) for t in terms_of(text))
+        held.update((lang, source, t) for t in set(terms_of(text)))
+    want = sorted((*k, n, held[k]) for k, n in want.items())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(("x", "x", "left out"), *rows)], ["lang", "source", "text"]).slice(1)
+    once = [tuple(r.values()) for b in source_audit._counted([batch.slice(0, 0), batch]) for r in b.to_pylist()]
+    assert sorted(once) == want  # a row for each term of a group, however often it is said
+    for piece_bytes, piece_rows, out_rows in ((1, 9, 3), (40, 1000, 2), (1000, 7, 1000)):
+        monkeypatch.setattr(source_audit, "PIECE_BYTES", piece_bytes)
+        monkeypatch.setattr(source_audit, "PIECE_ROWS", piece_rows)
+        monkeypatch.setattr(source_audit, "OUT_ROWS", out_rows)
+        n, df = Counter(), Counter()
+        for b in source_audit._counted([batch]):
+            assert 0 < b.num_rows <= out_rows
+            for *k, x, y in (r.values() for r in b.to_pylist()):
+                n[tuple(k)] += x
+                df[tuple(k)] += y
+        assert sorted((*k, x, df[k]) for k, x in n.items()) == want
+    monkeypatch.undo()
+    counts = source_audit.term_counts(spark.createDataFrame(rows, "lang string, source string, text string"))
+    assert sorted(map(tuple, counts.select("lang", "source", "term", "n", "df").collect())) == want
+    assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString()  # no row for each occurrence
+    broken = spark.sql("SELECT 'en' AS lang, 's' AS source, CAST(X'61FF4220C3' AS STRING) AS text")
+    assert sorted(map(tuple, source_audit.term_counts(broken).collect())) == [("en", "s", "a\ufffdb", 1, 1), ("en", "s", "\ufffd", 1, 1)]
+
+
 def test_audit_shares_beyond_64_bits(spark):
     row = spark.createDataFrame([(30_000_000_000_000, 70_000_000_000_001, 1000)], "n long, total long, terms long")
     want = 1 + 1_000_000_000 * (30_000_000_000_000 + 5) // (70_000_000_000_001 + 5000)
