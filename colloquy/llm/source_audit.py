@@ -20,7 +20,7 @@ from colloquy.llm.common import cut, quoted
 #: Terms are runs of ASCII letters and of characters outside ASCII. For each byte of UTF-8 what it is in a term, 0 where it parts terms.
 IN_TERM = bytes(b if b >= 128 or chr(b).islower() else b + 32 if chr(b).isupper() else 0 for b in range(256))
 #: Texts that are counted at a time inside a task, in bytes (one at least) and in rows, and rows that it gives back at a time.
-PIECE_BYTES, PIECE_ROWS, OUT_ROWS = 16 << 20, 1 << 16, 1 << 16
+PIECE_BYTES, PIECE_ROWS, OUT_ROWS = 8 << 20, 1 << 16, 1 << 16
 #: A share is told in billionths, over counts that each get this much more.
 SCALE, MORE = 1_000_000_000, 5
 #: Documents of the language in which a term has to occur, and terms of a group that are listed.
