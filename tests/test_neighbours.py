@@ -47,6 +47,41 @@ def test_all_pairs(spark, k, others, per_block):
     assert [x[:4] for x in rows_of(found)] == [x[:4] for x in plain(rows, asked, k, others)]
 
 
+@pytest.mark.parametrize("few", [0, 1024])
+@pytest.mark.parametrize("k, others", [(1, False), (3, True), (400, True)])
+def test_all_pairs_in_parts(spark, monkeypatch, few, k, others):
+    """Blocks of both sides meet in parts of the pool, or, with many tenants, by a join on them."""
+    for name, value in (("FEW", few), ("PART", 300), ("POOL_BLOCK", 20), ("BLOCK", 20)):
+        monkeypatch.setattr(vectors, name, value)
+    rows = odd(k, 240)
+    rows += [(t, 1000 + i, s, [x * (1 + 1e-12 * i) for x in v] if v else v) for t, i, s, v in rows[100:160]]  # alike to nine digits
+    asked = [r for r in rows if r[1] % 3 == 0 or r[1] % 40 < 4]
+    found = vectors.nearest(spark.createDataFrame(asked, SCHEMA).repartition(3), spark.createDataFrame(rows, SCHEMA), k, others, "tenant_id")
+    assert [x[:4] for x in rows_of(found)] == [x[:4] for x in plain(rows, asked, k, others)]
+
+
+@pytest.mark.parametrize("picked", [0, vectors.PICKED])
+def test_single_precision_only_rules_out(monkeypatch, picked):
+    """Pairs that single precision cannot tell apart are compared exactly, one by one or, if they are many, all of them."""
+    monkeypatch.setattr(vectors, "PICKED", picked)
+    rng = np.random.default_rng(3)
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    q = unit(rng.normal(size=(300, 16)))
+    for n in (40, 3000):
+        p = unit(q[:n][rng.integers(0, min(n, 300), n)] + rng.normal(size=(n, 16)) * 1e-6)
+        names = rng.permutation(n)
+        sides = (q, np.full(300, 16, np.int32)), (p, np.full(n, 16, np.int32))
+        sims = np.einsum("ij,kj->ik", q, p)
+        for k in (1, 4):
+            want = [names[np.lexsort((names, -np.round(s, 9)))[:k]].tolist() for s in sims]
+            found = [np.concatenate(x) for x in zip(*vectors._met(*sides, np.arange(300), names, k, False, np.full(300, -np.inf)), strict=True)]
+            assert names[found[1]].reshape(300, k).tolist() == want
+            floor = np.sort(sims, axis=1)[:, -k]
+            again = [np.concatenate(x) for x in zip(*vectors._met(*sides, np.arange(300), names, k, False, floor), strict=True)]
+            assert all((a == b).all() for a, b in zip(found, again, strict=True))
+            assert not list(vectors._met(*sides, np.arange(300), names, k, False, np.full(300, 1.1)))
+
+
 def test_empty_sides(spark):
     rows, none = spark.createDataFrame(odd(1, 20), SCHEMA), spark.createDataFrame([], SCHEMA)
     assert neighbours.nearest(none, rows, 2).count() == neighbours.nearest(rows, none, 2).count() == 0

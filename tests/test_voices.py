@@ -180,6 +180,33 @@ def test_min_duration_is_read(spark):
         assert found == segments.where(f"end_ms - start_ms >= {least} AND embedding IS NOT NULL AND tenant_id < 2").count()
 
 
+def written(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    empty = jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(empty, False, False, gateway.new_array(jvm.double, 0), empty)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def many(spark, tmp_path):
+    """Events and voices whose vectors take 64 numbers that no compression shortens."""
+    rng = np.random.default_rng(8)
+    draw = lambda n: rng.normal(size=(n, 64)).tolist()
+    events = [(i % 4, i, "start" if i % 50 == 0 else "segment", f"e{i:05}", "new" if i % 50 == 0 else None, 3, i % 40, i * 1000, i * 1000 + 4000, 4000, 0.9, None, v) for i, v in enumerate(draw(4000))]
+    held = [(i % 4, i, f"s{i % 9}", v) for i, v in enumerate(draw(400))]
+    spark.createDataFrame(events, SCHEMA.replace("embedding array<float>", "embedding array<double>")).write.parquet(str(tmp_path / "events"))
+    spark.createDataFrame(held, "tenant_id long, id long, speaker_id string, embedding array<double>").write.parquet(str(tmp_path / "held"))
+    return spark.read.parquet(str(tmp_path / "events")), spark.read.parquet(str(tmp_path / "held"))
+
+
+def test_vectors_of_segments_are_not_shuffled(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(vectors, "POOL_BLOCK", 20)
+    events, held = many(spark, tmp_path)
+    before = written(spark)
+    assert V.segment_evidence(events.where("kind = 'segment'"), held, Settings(tentative=-1.0)).where("sim IS NOT NULL").count() == 3920
+    assert 0 < written(spark) - before < 4000 * 64 * 8 / 2
+
+
 def test_neighbours_of_a_tenant(spark):
     rng = np.random.default_rng(1)
     rows = [(k % 3 if k % 10 else None, k, f"s{k}", [float(x) for x in rng.normal(size=5)]) for k in range(90)]
