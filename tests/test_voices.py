@@ -199,12 +199,30 @@ def many(spark, tmp_path):
     return spark.read.parquet(str(tmp_path / "events")), spark.read.parquet(str(tmp_path / "held"))
 
 
-def test_vectors_of_segments_are_not_shuffled(spark, monkeypatch, tmp_path):
+@pytest.fixture
+def large(spark):
+    """Joins as for tables too large to be broadcast."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_vectors_of_segments_are_not_shuffled(large, monkeypatch, tmp_path):
     monkeypatch.setattr(vectors, "POOL_BLOCK", 20)
-    events, held = many(spark, tmp_path)
-    before = written(spark)
+    events, held = many(large, tmp_path)
+    before = written(large)
     assert V.segment_evidence(events.where("kind = 'segment'"), held, Settings(tentative=-1.0)).where("sim IS NOT NULL").count() == 3920
-    assert 0 < written(spark) - before < 4000 * 64 * 8 / 2
+    assert 0 < written(large) - before < 4000 * 64 * 8 / 2
+
+
+def test_vectors_of_events_are_not_shuffled(large, monkeypatch, tmp_path):
+    monkeypatch.setattr(vectors, "POOL_BLOCK", 20)
+    events, held = many(large, tmp_path)
+    before = written(large)
+    found = V.attribute_while_enrolling(events, held, Settings(tentative=-1.0)).groupBy("confidence").count().collect()
+    assert sum(r["count"] for r in found) == 3920 and len(found) == 2
+    assert 0 < written(large) - before < 4000 * 64 * 8 / 2
 
 
 def test_neighbours_of_a_tenant(spark):
