@@ -51,7 +51,7 @@ def test_all_pairs(spark, k, others, per_block):
 @pytest.mark.parametrize("k, others", [(1, False), (3, True), (400, True)])
 def test_all_pairs_in_parts(spark, monkeypatch, few, k, others):
     """Blocks of both sides meet in parts of the pool, or, with many tenants, by a join on them."""
-    for name, value in (("FEW", few), ("PART", 300), ("POOL_BLOCK", 20), ("BLOCK", 20)):
+    for name, value in (("FEW", few), ("PART", 300), ("PACKED", 100), ("POOL_BLOCK", 20), ("BLOCK", 20)):
         monkeypatch.setattr(vectors, name, value)
     rows = odd(k, 240)
     rows += [(t, 1000 + i, s, [x * (1 + 1e-12 * i) for x in v] if v else v) for t, i, s, v in rows[100:160]]  # alike to nine digits
@@ -87,6 +87,11 @@ def test_empty_sides(spark):
     assert neighbours.nearest(none, rows, 2).count() == neighbours.nearest(rows, none, 2).count() == 0
 
 
+def test_empty_sides_in_parts(spark):
+    rows, none = spark.createDataFrame(odd(1, 20), SCHEMA), spark.createDataFrame([], SCHEMA)
+    assert vectors.nearest(none, rows, 2).count() == vectors.nearest(rows, none, 2).count() == vectors.nearest(rows, none, 2, by="tenant_id").count() == 0
+
+
 def test_clusters_spare_most_pairs(spark):
     rng = np.random.default_rng(5)
     centers = rng.normal(size=(40, 32))

@@ -209,7 +209,8 @@ def large(spark):
 
 
 def test_vectors_of_segments_are_not_shuffled(large, monkeypatch, tmp_path):
-    monkeypatch.setattr(vectors, "POOL_BLOCK", 20)
+    for name in ("POOL_BLOCK", "PACKED"):  # blocks of 20 vectors
+        monkeypatch.setattr(vectors, name, 20 if name == "POOL_BLOCK" else 20 * 64)
     events, held = many(large, tmp_path)
     before = written(large)
     assert V.segment_evidence(events.where("kind = 'segment'"), held, Settings(tentative=-1.0)).where("sim IS NOT NULL").count() == 3920
@@ -217,7 +218,8 @@ def test_vectors_of_segments_are_not_shuffled(large, monkeypatch, tmp_path):
 
 
 def test_vectors_of_events_are_not_shuffled(large, monkeypatch, tmp_path):
-    monkeypatch.setattr(vectors, "POOL_BLOCK", 20)
+    for name in ("POOL_BLOCK", "PACKED"):  # blocks of 20 vectors
+        monkeypatch.setattr(vectors, name, 20 if name == "POOL_BLOCK" else 20 * 64)
     events, held = many(large, tmp_path)
     before = written(large)
     found = V.attribute_while_enrolling(events, held, Settings(tentative=-1.0)).groupBy("confidence").count().collect()
